@@ -7,6 +7,7 @@ an array, and every output column is a CASE over the format. No format gets a sc
 from __future__ import annotations
 
 from datetime import datetime
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ STAMPED = (
     r"(\S+)?\s*(\S+)?(?:\[(\d+)\])?\s*:\s*(.+)$"
 )
 SAMPLE_CHARS = 2000
+PLAIN = ("job_id", "host", "source_file", "line_no")
 
 # Number of captured fields, which tells a match from a miss.
 WIDTH = {"syslog": 9, "access": 8, "error": 3, "audit": 3, "generic": 3}
@@ -130,11 +132,21 @@ def parse_lines(
 def _parse(lines, formats, compat, reference_ts, keep_errors) -> DataFrame:
     if formats is not None:
         lines = lines.join(formats.select("source_file", "format"), "source_file")
+    steps = kept(lines.sparkSession, _steps, compat, reference_ts, keep_errors)
+    for columns in steps:
+        lines = lines.select(*columns)
+    return lines
+
+
+def _steps(compat: bool, reference_ts: datetime | None, keep_errors: bool) -> list[list[Column]]:
+    """The projections, in order; each reads the columns of the one before."""
     fmt = F.col("format")
     line = X.strip_cr(F.col("value"))
     json_options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
-    captured = lines.select(
-        "job_id", "host", "source_file", "line_no", "format", line.alias("value"),
+    plain = [F.col(c) for c in PLAIN]
+    steps = []
+    steps.append([
+        *plain, fmt, line.alias("value"),
         F.when(fmt == "journal", F.from_json(line, schema.JOURNAL, json_options)).alias("j"),
         F.when(fmt == "entry_jsonl", F.from_json(line, schema.ENTRY, json_options)).alias("e"),
         F.when(fmt == "syslog", X.fields(line, SYSLOG, WIDTH["syslog"]))
@@ -143,35 +155,36 @@ def _parse(lines, formats, compat, reference_ts, keep_errors) -> DataFrame:
         .when(fmt == "audit", X.fields(line, AUDIT, WIDTH["audit"]))
         .when(fmt == "generic", X.fields(line, ISO, WIDTH["generic"]))
         .alias("p"),
-    )
+    ])
     # Entries stored without a service may hold an access or audit line, which is parsed as such.
-    reparse = F.lit(False)
+    kind = fmt
     if not compat:
         reparse = (fmt == "entry_jsonl") & (F.coalesce("e.service", F.lit("unknown")) == "unknown")
         raw = F.coalesce(F.col("e.raw"), F.lit(""))
         as_access = X.fields(raw, ACCESS, WIDTH["access"])
-        captured = captured.withColumn(
-            "p",
+        again = (
             F.when(reparse & (F.size(as_access) == WIDTH["access"]), as_access)
             .when(reparse, X.fields(raw, AUDIT, WIDTH["audit"]))
-            .otherwise(F.col("p")),
+            .otherwise(F.col("p"))
         )
-    kind = (
-        F.when(reparse & (F.size("p") == WIDTH["access"]), "access")
-        .when(reparse & (F.size("p") == WIDTH["audit"]), "audit")
-        .otherwise(fmt)
-    )
-    timed = captured.select(
-        "*",
+        steps.append([*plain, fmt, F.col("value"), F.col("j"), F.col("e"), again.alias("p")])
+        kind = (
+            F.when(reparse & (F.size("p") == WIDTH["access"]), "access")
+            .when(reparse & (F.size("p") == WIDTH["audit"]), "audit")
+            .otherwise(fmt)
+        )
+    steps.append([
+        F.col("*"),
         kind.alias("kind"),
         F.when(kind == "access", X.fields(F.trim(_p(2)), ACCESS_TIME, 7))
         .when((kind == "error") & F.lit(not compat), X.fields(_p(0), ERROR_TIME, 6))
         .alias("t"),
-    )
+    ])
     # Blank lines are dropped, and lines of JSON files that are no objects.
     wanted = F.col("value") != ""
     wanted &= ~fmt.isin("journal", "entry_jsonl") | F.startswith(F.trim("value"), F.lit("{"))
-    return _columns(timed, compat, reference_ts, wanted, keep_errors)
+    steps += _columns(compat, reference_ts, wanted, keep_errors)
+    return steps
 
 
 def _p(i: int) -> Column:
@@ -190,8 +203,7 @@ def _by_kind(cases: dict, default=None) -> Column:
     return chain if default is None else chain.otherwise(default)
 
 
-def _columns(df: DataFrame, compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> DataFrame:
-    kind = F.col("kind")
+def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> list[list[Column]]:
     matched = _by_kind(
         {k: F.size("p") == w for k, w in WIDTH.items() if k != "generic"}
         | {"generic": F.lit(True), "journal": F.col("j._corrupt").isNull(),
@@ -211,7 +223,7 @@ def _columns(df: DataFrame, compat: bool, reference_ts, wanted: Column, keep_err
         "journal": _epoch_micros(F.col("j.__REALTIME_TIMESTAMP").try_cast("bigint")),
         "entry_jsonl": X.time_from_epoch(F.col("e.ts_epoch")),
     })
-    df = df.select("*", matched.alias("ok"), ts.alias("ts"))
+    timed = [F.col("*"), matched.alias("ok"), ts.alias("ts")]
 
     status = _p(6)
     audit_type = _p(0)
@@ -280,7 +292,7 @@ def _columns(df: DataFrame, compat: bool, reference_ts, wanted: Column, keep_err
             "journal": _journal_message(),
             "entry_jsonl": F.coalesce(F.col("e.message"), F.lit("")),
         }),
-        "raw": F.coalesce(F.col("e.raw"), F.when(kind == "journal", F.trim("value")).otherwise(F.col("value"))),
+        "raw": F.coalesce(F.col("e.raw"), F.when(F.col("kind") == "journal", F.trim("value")).otherwise(F.col("value"))),
         "extracted": _by_kind({
             "access": X.present(
                 {
@@ -298,37 +310,52 @@ def _columns(df: DataFrame, compat: bool, reference_ts, wanted: Column, keep_err
         }, X.no_fields()),
     }
     # The audit message is cut before its prefix is added; every other one here.
-    columns["message"] = F.when(kind == "audit", columns["message"]).otherwise(
+    columns["message"] = F.when(F.col("kind") == "audit", columns["message"]).otherwise(
         F.left(columns["message"], F.lit(L.LIMITS["message"]))
     )
     for column in ("hostname", "service", "raw"):
         columns[column] = F.left(columns[column], F.lit(L.LIMITS[column]))
 
-    df = df.select(
-        "job_id", "host", "ts", X.epoch_seconds(F.col("ts")).alias("ts_epoch"),
+    parsed = [
+        *[F.col(c) for c in PLAIN], F.col("ts"), X.epoch_seconds(F.col("ts")).alias("ts_epoch"),
         *[value.alias(column) for column, value in columns.items()],
-        "source_file", "line_no", kind.alias("format"), (~F.col("ok")).alias("parse_error"),
+        F.col("kind").alias("format"), (~F.col("ok")).alias("parse_error"),
         (wanted if keep_errors else wanted & F.col("ok")).alias("_keep"),
-    )
-    if not compat:
-        df = extract_auth_fields(df)
-    return keep_rows(df, F.col("_keep"), ["job_id", "host", "source_file", "line_no"])
+    ]
+    names = ["ts", "ts_epoch", *columns, "format", "parse_error"]
+    extracted = F.col("extracted") if compat else auth_fields().alias("extracted")
+    last = [extracted if name == "extracted" else F.col(name) for name in names]
+    return [timed, parsed, [*[F.col(c) for c in PLAIN], keep_rows(F.col("_keep"), last)]]
 
 
-def keep_rows(df: DataFrame, condition: Column, plain: list) -> DataFrame:
-    """``filter``, but evaluated where it stands.
+def keep_rows(condition: Column, columns: list) -> Column:
+    """Generator with the effect of ``filter``, but evaluated where it stands.
 
     Spark moves a filter below the projections it reads, and so runs every regex behind the
     condition a second time, nested ones more often. Rows leave through a generator instead, which
-    filters on parsed columns do not pass; those on the ``plain`` columns still reach the scan.
+    filters on parsed columns do not pass; those on columns beside it still reach the scan.
     """
-    parsed = [c for c in df.columns if c not in plain and c != "_keep"]
-    rows = F.when(condition, F.array(F.struct(*parsed)))
-    return df.select(*plain, F.inline(rows))
+    return F.inline(F.when(condition, F.array(F.struct(*columns))))
 
 
-def extract_auth_fields(logs: DataFrame) -> DataFrame:
-    """Address and user of failed logins, which no parser extracts, into ``extracted``."""
+def kept(spark, build, *args):
+    """The result of ``build``, made once per session.
+
+    It holds column expressions only. Making some thousand of them takes seconds of round trips to
+    the JVM, so repeated queries share them.
+    """
+    made = _KEPT.setdefault(spark, {})
+    key = (build, *args)
+    if key not in made:
+        made[key] = build(*args)
+    return made[key]
+
+
+_KEPT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def auth_fields() -> Column:
+    """``extracted``, with address and user of failed logins, which no parser extracts."""
     failure = F.rlike("message", F.lit("(?i)" + "|".join(L.AUTH_FAILURE_PHRASES)))
     found = X.present(
         {},
@@ -338,7 +365,7 @@ def extract_auth_fields(logs: DataFrame) -> DataFrame:
         },
     )
     wanted = ~F.col("format").isin("access", "error") & (F.size("extracted") == 0) & failure
-    return logs.withColumn("extracted", F.when(wanted, found).otherwise(F.col("extracted")))
+    return F.when(wanted, found).otherwise(F.col("extracted"))
 
 
 def structure_text(
@@ -374,14 +401,13 @@ def structure_text(
         pick(7, 3, F.lit("")).alias("pid"),
         pick(8, 4, F.col("value")).alias("message"),
     )
-    rows = rows.select(
-        "job_id", "host", "ts", X.epoch_seconds(F.col("ts")).alias("ts_epoch"),
-        X.iso_time(F.col("ts")).alias("timestamp"), "hostname", "service", "pid",
-        F.lit("info").alias("level"), "message", "source_file", "line_no",
-        F.lit("text").alias("format"), F.col("value").alias("raw"), X.no_fields().alias("extracted"),
-    )
-    plain = ["job_id", "host", "source_file", "line_no"]
-    return keep_rows(rows, F.col("raw") != "", plain).select(*schema.LOG_COLUMNS)
+    columns = [
+        F.col("ts"), X.epoch_seconds(F.col("ts")).alias("ts_epoch"),
+        X.iso_time(F.col("ts")).alias("timestamp"), F.col("hostname"), F.col("service"),
+        F.col("pid"), F.lit("info").alias("level"), F.col("message"), F.lit("text").alias("format"),
+        F.col("value").alias("raw"), X.no_fields().alias("extracted"),
+    ]
+    return rows.select(*PLAIN, keep_rows(F.col("value") != "", columns)).select(*schema.LOG_COLUMNS)
 
 
 # --------------------------------------------------------------------------- parts
