@@ -39,7 +39,7 @@ def hash_large_files(paths: DataFrame) -> DataFrame:
             for uri in batch["path"]:
                 filesystem, path = fs.FileSystem.from_uri(uri)
                 digest = hashlib.sha256()
-                with filesystem.open_input_stream(path) as stream:
+                with filesystem.open_input_stream(path, compression=None) as stream:
                     while chunk := stream.read(CHUNK):
                         digest.update(chunk)
                 digests.append(digest.hexdigest())
