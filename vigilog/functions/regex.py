@@ -134,6 +134,10 @@ def _clauses(tree) -> list:
             elif op is C.AT:
                 continue
             else:
+                if op is C.BRANCH and run:
+                    starts = _starts([(op, arg)])
+                    if all(starts):
+                        found.append(tuple(sorted({"".join(run) + s for s in starts})))
                 flush()
                 if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and arg[0] >= 1:
                     found.extend(_clauses(arg[2]))
@@ -149,6 +153,19 @@ def _clauses(tree) -> list:
     return found
 
 
+def _starts(tree) -> list[str]:
+    """The literals a sequence may begin with, one per way through it."""
+    prefix = ""
+    for op, arg in tree:
+        if op is C.LITERAL and arg < 128:
+            prefix += chr(arg).lower()
+        elif op is C.BRANCH:
+            return [prefix + s for branch in arg[1] for s in _starts(branch)]
+        elif op is not C.AT:
+            break
+    return [prefix]
+
+
 def sql_string(text: str) -> str:
     """A Spark SQL string literal (``spark.sql.parser.escapedStringLiterals`` off)."""
     escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")

@@ -3,7 +3,7 @@
 ``search_rules`` is the only operator that looks at messages. It evaluates all rules in one pass
 over the logs, without a shuffle; only rows that match leave it. Thresholds and sequences then work
 on those. Callers that use its result more than once should store it first
-(``vigilog.session.checkpointed``), as ``vigilog.plans.analysis`` does.
+(``vigilog.session.stored``), as ``vigilog.plans.analysis`` does.
 """
 
 from __future__ import annotations

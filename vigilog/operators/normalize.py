@@ -40,6 +40,8 @@ STAMPED = (
 SAMPLE_CHARS = 2000
 PLAIN = ("job_id", "host", "source_file", "line_no")
 
+FORMATS = ("syslog", "access", "error", "audit", "generic", "journal", "entry_jsonl")
+
 # Number of captured fields, which tells a match from a miss.
 WIDTH = {"syslog": 9, "access": 8, "error": 3, "audit": 3, "generic": 3}
 
@@ -106,11 +108,12 @@ def normalize(
     lines: DataFrame,
     formats: DataFrame | None = None,
     *,
+    kinds: list | None = None,
     compat: bool = False,
     reference_ts: datetime | None = None,
 ) -> DataFrame:
     """The log table: lines that parse, in the columns of ``schema.LOG``. Row order is free."""
-    parsed = _parse(lines, formats, compat, reference_ts, keep_errors=False)
+    parsed = _parse(lines, formats, kinds, compat, reference_ts, keep_errors=False)
     return parsed.select(*schema.LOG_COLUMNS)
 
 
@@ -118,47 +121,55 @@ def parse_lines(
     lines: DataFrame,
     formats: DataFrame | None = None,
     *,
+    kinds: list | None = None,
     compat: bool = False,
     reference_ts: datetime | None = None,
 ) -> DataFrame:
     """``normalize`` plus the lines that do not parse, marked by ``parse_error``.
 
     ``formats`` (source_file, format) holds a row per file; without it ``lines`` has the column.
+    ``kinds`` names the formats that occur, if known: the plan then leaves out the other parsers, and
+    lines of other formats are dropped.
     ``reference_ts`` supplies the year that syslog times lack; the default is the current time.
     """
-    return _parse(lines, formats, compat, reference_ts, keep_errors=True)
+    return _parse(lines, formats, kinds, compat, reference_ts, keep_errors=True)
 
 
-def _parse(lines, formats, compat, reference_ts, keep_errors) -> DataFrame:
+def _parse(lines, formats, kinds, compat, reference_ts, keep_errors) -> DataFrame:
     if formats is not None:
         lines = lines.join(formats.select("source_file", "format"), "source_file")
-    steps = kept(lines.sparkSession, _steps, compat, reference_ts, keep_errors)
+    kinds = tuple(k for k in FORMATS if kinds is None or k in kinds)
+    steps = kept(lines.sparkSession, _steps, kinds, compat, reference_ts, keep_errors)
     for columns in steps:
         lines = lines.select(*columns)
     return lines
 
 
-def _steps(compat: bool, reference_ts: datetime | None, keep_errors: bool) -> list[list[Column]]:
+def _steps(kinds: tuple, compat: bool, reference_ts, keep_errors: bool) -> list[list[Column]]:
     """The projections, in order; each reads the columns of the one before."""
     fmt = F.col("format")
     line = X.strip_cr(F.col("value"))
     json_options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     plain = [F.col(c) for c in PLAIN]
-    steps = []
-    steps.append([
-        *plain, fmt, line.alias("value"),
-        F.when(fmt == "journal", F.from_json(line, schema.JOURNAL, json_options)).alias("j"),
-        F.when(fmt == "entry_jsonl", F.from_json(line, schema.ENTRY, json_options)).alias("e"),
-        F.when(fmt == "syslog", X.fields(line, SYSLOG, WIDTH["syslog"]))
-        .when(fmt == "access", X.fields(line, ACCESS, WIDTH["access"]))
-        .when(fmt == "error", X.fields(line, ERROR, WIDTH["error"]))
-        .when(fmt == "audit", X.fields(line, AUDIT, WIDTH["audit"]))
-        .when(fmt == "generic", X.fields(line, ISO, WIDTH["generic"]))
-        .alias("p"),
-    ])
+    regexes = {"syslog": SYSLOG, "access": ACCESS, "error": ERROR, "audit": AUDIT, "generic": ISO}
+    captured = {
+        k: X.fields(line, regex, WIDTH[k]) for k, regex in regexes.items() if k in kinds
+    }
+    first = [*plain, fmt, line.alias("value")]
+    json = []
+    if "journal" in kinds:
+        json.append("j")
+        first.append(F.when(fmt == "journal", F.from_json(line, schema.JOURNAL, json_options)).alias("j"))
+    if "entry_jsonl" in kinds:
+        json.append("e")
+        first.append(F.when(fmt == "entry_jsonl", F.from_json(line, schema.ENTRY, json_options)).alias("e"))
+    nothing = F.lit(None).cast("array<string>")
+    first.append(_cases("format", captured, kinds, nothing).alias("p"))
+    steps = [first]
     # Entries stored without a service may hold an access or audit line, which is parsed as such.
     kind = fmt
-    if not compat:
+    if "entry_jsonl" in kinds and not compat:
+        kinds = tuple(dict.fromkeys((*kinds, "access", "audit")))
         reparse = (fmt == "entry_jsonl") & (F.coalesce("e.service", F.lit("unknown")) == "unknown")
         raw = F.coalesce(F.col("e.raw"), F.lit(""))
         as_access = X.fields(raw, ACCESS, WIDTH["access"])
@@ -167,26 +178,43 @@ def _steps(compat: bool, reference_ts: datetime | None, keep_errors: bool) -> li
             .when(reparse, X.fields(raw, AUDIT, WIDTH["audit"]))
             .otherwise(F.col("p"))
         )
-        steps.append([*plain, fmt, F.col("value"), F.col("j"), F.col("e"), again.alias("p")])
+        steps.append([*plain, fmt, F.col("value"), *[F.col(c) for c in json], again.alias("p")])
         kind = (
             F.when(reparse & (F.size("p") == WIDTH["access"]), "access")
             .when(reparse & (F.size("p") == WIDTH["audit"]), "audit")
             .otherwise(fmt)
         )
-    steps.append([
-        F.col("*"),
-        kind.alias("kind"),
-        F.when(kind == "access", X.fields(F.trim(_p(2)), ACCESS_TIME, 7))
-        .when((kind == "error") & F.lit(not compat), X.fields(_p(0), ERROR_TIME, 6))
-        .alias("t"),
-    ])
+    second = [F.col("*"), kind.alias("kind")]
+    if "access" in kinds or "error" in kinds:
+        clock = {"access": X.fields(F.trim(_p(2)), ACCESS_TIME, 7)}
+        if not compat:
+            clock["error"] = X.fields(_p(0), ERROR_TIME, 6)
+        tests = [(kind == k, v) for k, v in clock.items() if k in kinds]
+        chain = F.when(*tests[0]) if tests else nothing
+        for test, value in tests[1:]:
+            chain = chain.when(test, value)
+        second.append(chain.alias("t"))
+    steps.append(second)
     # Blank lines are dropped, and lines of JSON files that are no objects.
-    wanted = F.col("value") != ""
-    wanted &= ~fmt.isin("journal", "entry_jsonl") | F.startswith(F.trim("value"), F.lit("{"))
-    steps += _columns(compat, reference_ts, wanted, keep_errors)
+    wanted = (F.col("value") != "") & fmt.isin(*kinds)
+    if json:
+        wanted &= ~fmt.isin("journal", "entry_jsonl") | F.startswith(F.trim("value"), F.lit("{"))
+    steps += _columns(kinds, json, compat, reference_ts, wanted, keep_errors)
     return steps
 
 
+def _cases(column: str, cases: dict, kinds: tuple, default=None) -> Column:
+    """CASE over the format, with the branches of the formats that occur."""
+    chain = None
+    for kind, value in cases.items():
+        if kind in kinds:
+            test = F.col(column) == kind
+            chain = F.when(test, value) if chain is None else chain.when(test, value)
+    if chain is None:
+        return default
+    return chain if default is None else chain.otherwise(default)
+
+
 def _p(i: int) -> Column:
     return F.get("p", F.lit(i))
 
@@ -195,16 +223,13 @@ def _t(i: int) -> Column:
     return F.get("t", F.lit(i))
 
 
-def _by_kind(cases: dict, default=None) -> Column:
-    chain = None
-    for kind, value in cases.items():
-        test = F.col("kind") == kind
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain if default is None else chain.otherwise(default)
-
+def _columns(
+    kinds: tuple, json: list, compat: bool, reference_ts, wanted: Column, keep_errors: bool
+) -> list[list[Column]]:
+    def by_kind(cases: dict, default=None) -> Column:
+        return _cases("kind", cases, kinds, default)
 
-def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> list[list[Column]]:
-    matched = _by_kind(
+    matched = by_kind(
         {k: F.size("p") == w for k, w in WIDTH.items() if k != "generic"}
         | {"generic": F.lit(True), "journal": F.col("j._corrupt").isNull(),
            "entry_jsonl": F.col("e._corrupt").isNull()}
@@ -214,7 +239,7 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
     web = F.when(F.contains(tested, F.lit("nginx")), "nginx").otherwise("apache2")
     iso_hit = F.size("p") == WIDTH["generic"]
 
-    ts = _by_kind({
+    ts = by_kind({
         "syslog": syslog_time(_p(0), _p(1), _p(2), _p(3), _p(4), reference_ts, compat),
         "access": _access_time(),
         "error": X.utc_timestamp(_t(5), X.lookup(L.MONTHS, F.lower(_t(0))), _t(1), _t(2), _t(3), _t(4)),
@@ -235,8 +260,14 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
     entry_service = F.coalesce(F.col("e.service"), F.lit("unknown"))
     name_token = F.when(F.contains(name, F.lit("_")), F.get(F.split(name, "_"), F.lit(1))).otherwise("system")
 
+    raw = F.col("value")
+    if "j" in json:
+        raw = F.when(F.col("kind") == "journal", F.trim("value")).otherwise(raw)
+    if "e" in json:
+        raw = F.coalesce(F.col("e.raw"), raw)
+
     columns = {
-        "timestamp": _by_kind(
+        "timestamp": by_kind(
             {
                 "access": _access_iso(),
                 "generic": F.when(iso_hit, _p(0)),
@@ -244,14 +275,14 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
             },
             X.iso_time(F.col("ts")),
         ),
-        "hostname": _by_kind({
+        "hostname": by_kind({
             "syslog": _p(5),
             "access": F.lit("webserver"),
             "error": F.lit("webserver"),
             "journal": F.coalesce(F.col("j._HOSTNAME"), F.lit("unknown")),
             "entry_jsonl": F.coalesce(F.col("e.hostname"), F.lit("" if not compat else "None")),
         }, F.lit("unknown")),
-        "service": _by_kind({
+        "service": by_kind({
             "syslog": _p(6),
             "access": web,
             "error": F.concat(web, F.lit("_error")),
@@ -266,7 +297,7 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
                 entry_service == "unknown", F.coalesce(X.not_empty(inferred), entry_service)
             ).otherwise(entry_service),
         }),
-        "pid": _by_kind({
+        "pid": by_kind({
             "syslog": _p(7),
             "audit": F.regexp_extract(_p(2), r"\bpid=(\d+)", 1),
             "journal": F.left(F.coalesce(F.col("j._PID"), F.lit("")), F.lit(L.LIMITS["pid"])),
@@ -274,7 +305,7 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
                 F.coalesce(F.col("e.pid"), F.lit("None" if compat else "")), F.lit(L.LIMITS["pid"])
             ),
         }, F.lit("")),
-        "level": _by_kind({
+        "level": by_kind({
             "access": F.when(F.left(status, F.lit(1)).isin("4", "5"), "error").otherwise("info"),
             "error": F.left(F.lower(_p(1)), F.lit(L.LIMITS["error_level"])),
             "audit": F.when(audit_warn, "warn").otherwise("info"),
@@ -282,7 +313,7 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
             "journal": F.coalesce(X.lookup(L.PRIORITY_LABELS, F.coalesce("j.PRIORITY", F.lit("6"))), F.lit("info")),
             "entry_jsonl": F.coalesce(F.col("e.level"), F.lit("info")),
         }, F.lit("info")),
-        "message": _by_kind({
+        "message": by_kind({
             "syslog": _p(8),
             "access": F.concat(_p(3), F.lit(" "), _p(4), F.lit(" "), _p(5), F.lit(" -> "), status),
             "error": _p(2),
@@ -292,8 +323,8 @@ def _columns(compat: bool, reference_ts, wanted: Column, keep_errors: bool) -> l
             "journal": _journal_message(),
             "entry_jsonl": F.coalesce(F.col("e.message"), F.lit("")),
         }),
-        "raw": F.coalesce(F.col("e.raw"), F.when(F.col("kind") == "journal", F.trim("value")).otherwise(F.col("value"))),
-        "extracted": _by_kind({
+        "raw": raw,
+        "extracted": by_kind({
             "access": X.present(
                 {
                     "src_ip": _p(0), "http_method": _p(3),

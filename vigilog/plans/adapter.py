@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFERENCE_TS = datetime(2024, 1, 31)
+EVENT_FORMATS = ["syslog", "access"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

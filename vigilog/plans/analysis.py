@@ -13,7 +13,7 @@ from vigilog.operators.coverage import coverage
 from vigilog.operators.detect import detect, search_rules
 from vigilog.operators.normalize import detect_format, normalize
 from vigilog.operators.timeline import timeline, top_events
-from vigilog.session import checkpointed, configure
+from vigilog.session import stored, configure
 from vigilog.sources.evidence import read_job_json, read_logs
 from vigilog.sources.rules import RuleSet
 from vigilog.sources.sinks import write_logs
@@ -39,10 +39,10 @@ def find_matches(
     sequence_key: str | None = None,
 ) -> DataFrame:
     """Matches of all rules, stored. The logs are searched once; hits are few and are kept."""
-    hits = checkpointed(search_rules(logs, rules, compat=compat))
+    hits = stored(search_rules(logs, rules, compat=compat))
     matches = detect(hits, rules, keys, sequence_key=sequence_key, compat=compat)
     simple = not rules.active("threshold", "sequence")
-    return hits if simple else checkpointed(matches)
+    return hits if simple else stored(matches)
 
 
 def analyse(
@@ -52,7 +52,10 @@ def analyse(
     """Parse the files below ``root`` into the Parquet table ``log_table``, then work on that."""
     configure(spark)
     lines = read_logs(spark, f"{root}/*/01_evidence/raw/logs")
-    parsed = normalize(lines, detect_format(lines), compat=compat, reference_ts=reference_ts)
+    formats = stored(detect_format(lines))
+    # At most one label per format: the plan then holds the parsers that are needed.
+    kinds = [row.format for row in formats.select("format").distinct().collect()]
+    parsed = normalize(lines, formats, kinds=kinds, compat=compat, reference_ts=reference_ts)
     write_logs(parsed, log_table, mode="overwrite")
     return analyse_logs(
         spark.read.parquet(log_table), rules, read_job_json(spark, root, "services"),
@@ -65,7 +68,7 @@ def analyse_logs(
     compat: bool = False,
 ) -> Analysis:
     matches = find_matches(logs, rules, keys, compat=compat)
-    found = checkpointed(fnd.build_findings(matches, rules, keys))
+    found = stored(fnd.build_findings(matches, rules, keys))
     paths = rules.dataframe(logs.sparkSession).select("rule_path")
     return Analysis(
         logs=logs,

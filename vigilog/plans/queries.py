@@ -19,7 +19,7 @@ from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
 from vigilog.plans import adapter as A
 from vigilog.plans.analysis import find_matches
-from vigilog.session import configure, spread
+from vigilog.session import configure, spread, stored
 from vigilog.sources.rules import RuleSet
 
 
@@ -81,7 +81,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _logs(spark: SparkSession, d: str) -> DataFrame:
-    return nrm.normalize(_lines(spark, d), reference_ts=A.REFERENCE_TS)
+    return nrm.normalize(_lines(spark, d), kinds=A.EVENT_FORMATS, reference_ts=A.REFERENCE_TS)
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str, *types: str) -> DataFrame:
-    return det.search_rules(_logs(spark, d), RULES, types)
+    return stored(det.search_rules(_logs(spark, d), RULES, types))
 
 
 # --------------------------------------------------------------------------- SQL parts
@@ -254,7 +254,7 @@ def parse_journal(spark, d):
         (F.col("turn") % 8).cast("string").alias("PRIORITY"), F.col("text").alias("MESSAGE"),
     ))
     lines = _table_lines(c, F.col("conv_id") * 1000 + F.col("turn"), record, "journal_system_72h.json", "journal")
-    return nrm.normalize(lines).select(
+    return nrm.normalize(lines, kinds=["journal"]).select(
         "line_no", "ts_epoch", "timestamp", "hostname", "service", "pid", "level", "message"
     )
 
@@ -279,7 +279,7 @@ def parse_entry_jsonl(spark, d):
         F.create_map(F.lit("field"), F.col("o_orderkey").cast("string")).alias("extracted"),
     ))
     lines = _table_lines(o, F.col("o_orderkey"), record, "nginx_orders.jsonl", "entry_jsonl")
-    return nrm.normalize(lines).select(
+    return nrm.normalize(lines, kinds=["entry_jsonl"]).select(
         "line_no", "ts_epoch", "timestamp", "hostname", "service", "pid", "level", "message",
         F.try_element_at("extracted", F.lit("field")).alias("field"),
     )
@@ -307,7 +307,7 @@ def parse_audit(spark, d):
         F.col("l_suppkey"), F.lit(" res="), F.col("l_returnflag"),
     )
     lines = _table_lines(li, F.col("l_orderkey") * 10 + F.col("l_linenumber"), record, "audit.log", "audit")
-    return nrm.normalize(lines).select("line_no", "ts_epoch", "timestamp", "service", "pid", "level", "message")
+    return nrm.normalize(lines, kinds=["audit"]).select("line_no", "ts_epoch", "timestamp", "service", "pid", "level", "message")
 
 
 @query("parse_error_log", """SELECT c_custkey AS line_no, 'apache2_error' AS service, lower(c_mktsegment) AS level,
@@ -322,7 +322,7 @@ def parse_error_log(spark, d):
         F.lit("] [client 10.1.0."), F.col("c_nationkey"), F.lit("] "), F.col("c_name"),
     )
     lines = _table_lines(c, F.col("c_custkey"), record, "apache2_error.log", "error")
-    return nrm.normalize(lines).select("line_no", "service", "level", "message", "ts_epoch")
+    return nrm.normalize(lines, kinds=["error"]).select("line_no", "service", "level", "message", "ts_epoch")
 
 
 @query("parse_generic", """SELECT o_orderkey AS line_no, 'app' AS service,
@@ -336,7 +336,7 @@ def parse_generic(spark, d):
     at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     record = F.concat(at, F.lit(".25+0200 "), word, F.col("o_orderpriority"))
     lines = _table_lines(o, F.col("o_orderkey"), record, "app.log", "generic")
-    return nrm.normalize(lines).select("line_no", "service", "level", "message", "ts_epoch")
+    return nrm.normalize(lines, kinds=["generic"]).select("line_no", "service", "level", "message", "ts_epoch")
 
 
 @query("text_to_entries", f"""WITH {EVENTS} SELECT job_id, line_no,
@@ -358,7 +358,7 @@ def text_to_entries(spark, d):
   GROUP BY GROUPING SETS ((src), (service), (level), ()))
   SELECT * FROM s""")
 def log_stats(spark, d):
-    return tml.log_stats(nrm.parse_lines(_lines(spark, d), reference_ts=A.REFERENCE_TS))
+    return tml.log_stats(nrm.parse_lines(_lines(spark, d), kinds=A.EVENT_FORMATS, reference_ts=A.REFERENCE_TS))
 
 
 # --------------------------------------------------------------------------- correlations
@@ -481,7 +481,7 @@ def cap_per_source_first(spark, d):
 @query("dedupe", f"""WITH {EVENTS} SELECT job_id, "timestamp", hostname, service, pid, message, min(line_no) AS line_no
   FROM logs GROUP BY job_id, "timestamp", hostname, service, pid, message""")
 def dedupe(spark, d):
-    return tml.dedupe(_logs(spark, d)).select(
+    return tml.dedupe(stored(_logs(spark, d))).select(
         "job_id", "timestamp", "hostname", "service", "pid", "message", "line_no"
     )
 
@@ -577,7 +577,7 @@ def sequence_by_user(spark, d):
             {"regex": r"Failed password for \S+ from (?P<src_ip>\S+)"},
             {"regex": r'^(?P<src_ip>\S+) .*"POST /purchase'},
         ]})})
-    hits = det.search_rules(_logs(spark, d), rules)
+    hits = stored(det.search_rules(_logs(spark, d), rules))
     rows = det.detect_sequence(hits, rules, (), key="src_ip")
     return rows.select("line_no", "pattern_idx", "weight")
 

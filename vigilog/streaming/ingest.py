@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilog.operators.normalize import detect_format, normalize
+from vigilog.session import stored
 from vigilog.sources.evidence import read_logs
 from vigilog.sources.sinks import write_logs
 
@@ -38,7 +39,9 @@ def ingest_new(
         if not paths:
             return
         lines = read_logs(spark, paths)
-        parsed = normalize(lines, detect_format(lines), compat=compat, reference_ts=reference_ts)
+        formats = stored(detect_format(lines))
+        kinds = [row.format for row in formats.select("format").distinct().collect()]
+        parsed = normalize(lines, formats, kinds=kinds, compat=compat, reference_ts=reference_ts)
         # A batch repeated after a failure replaces its own folder instead of adding to it.
         write_logs(parsed, f"{log_table}/batch={batch_id}", mode="overwrite")
 
