@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.functions import lookups as L
+from vigilog.functions.regex import sql_string
 
 SPACE = r"\s+"
 
@@ -112,45 +115,49 @@ def normalise_service(name: Column) -> Column:
 
 
 def is_infrastructure(name: Column) -> Column:
-    test = F.lit(False)
-    for word in L.INFRASTRUCTURE:
-        test = test | F.contains(name, F.lit(word))
-    return test
+    words = "|".join(re.escape(word) for word in L.INFRASTRUCTURE)
+    return F.rlike(name, F.lit(words))
 
 
-def _rule_map(spark) -> DataFrame:
-    rows = [(i, name, rules) for i, (name, rules) in enumerate(L.SERVICE_RULES.items())]
-    return spark.createDataFrame(rows, "ord int, known string, rules array<string>").coalesce(1)
+def _mapped(condition: str) -> Column:
+    """Rule files of the first entry of the service map that meets a condition on ``k.known``."""
+    entries = ", ".join(
+        f"named_struct('known', {sql_string(name)}, 'rules', "
+        f"CAST(array({', '.join(map(sql_string, rules))}) AS array<string>))"
+        for name, rules in L.SERVICE_RULES.items()
+    )
+    return F.expr(f"get(filter(array({entries}), k -> {condition}), 0).rules")
 
 
 def map_services(services: DataFrame, rule_paths: DataFrame) -> DataFrame:
-    """(service, rules) for distinct normalised names: exact, partial, then ``services/<name>.yaml``.
+    """(service, rules, missing_rule_files) per distinct normalised name.
 
-    Distinct names are few next to the hosts; they meet the constant map in a broadcast join.
+    The rules are those mapped to the name, else to the first known name that contains it or is
+    part of it, else ``services/<name>.yaml``. The map is a constant inside the expression.
     """
     names = services.select("service").distinct()
-    mapped = F.broadcast(_rule_map(services.sparkSession))
-    exact = names.join(mapped, F.col("service") == F.col("known"), "left").select(
-        "service", F.col("rules").alias("exact")
+    candidate = F.concat(F.lit("services/"), F.col("service"), F.lit(".yaml"))
+    mapped = names.select(
+        "service",
+        F.coalesce(
+            _mapped("k.known = service"),
+            _mapped("contains(service, k.known) OR contains(k.known, service)"),
+        ).alias("listed"),
+        F.array(candidate).alias("own"),
     )
-    near = F.contains("service", F.col("known")) | F.contains("known", F.col("service"))
-    partial = (
-        names.join(mapped, near)
-        .groupBy("service").agg(F.min_by("rules", "ord").alias("partial"))
+    paths = mapped.select(
+        "service", F.col("listed").isNotNull().alias("listed"),
+        F.posexplode_outer(F.coalesce("listed", "own")).alias("ord", "rule_path"),
     )
-    candidate = F.concat(F.lit("services/"), F.col("service"), F.lit(".yaml"))
-    own = rule_paths.select(F.col("rule_path").alias("own")).distinct()
-    return (
-        exact.join(partial, "service", "left")
-        .withColumn("candidate", candidate)
-        .join(F.broadcast(own), F.col("candidate") == F.col("own"), "left")
-        .select(
-            "service",
-            F.coalesce(
-                "exact", "partial", F.when(F.col("own").isNotNull(), F.array("own")),
-                F.expr("CAST(array() AS array<string>)"),
-            ).alias("rules"),
-        )
+    existing = rule_paths.select("rule_path", F.lit(True).alias("exists")).distinct()
+    checked = paths.join(F.broadcast(existing), "rule_path", "left")
+    row = F.struct("ord", "rule_path")
+    # A file that is merely guessed from the name is not missed.
+    found = F.array_sort(F.collect_list(F.when(F.col("exists"), row)))
+    missing = F.array_sort(F.collect_list(F.when(F.col("exists").isNull() & F.col("listed"), row)))
+    return checked.groupBy("service").agg(
+        found["rule_path"].alias("rules"),
+        F.filter(missing["rule_path"], lambda p: p.isNotNull()).alias("missing_rule_files"),
     )
 
 
@@ -164,13 +171,7 @@ def coverage(inventories: DataFrame, rule_paths: DataFrame) -> DataFrame:
         .withColumn("service", normalise_service(F.col("service")))
         .filter(~is_infrastructure(F.col("service")))
     )
-    existing = rule_paths.agg(F.collect_set("rule_path").alias("existing"))
-    mapped = map_services(services, rule_paths).crossJoin(F.broadcast(existing)).select(
-        "service",
-        F.filter("rules", lambda r: F.array_contains(F.col("existing"), r)).alias("rules"),
-        F.filter("rules", lambda r: ~F.array_contains(F.col("existing"), r)).alias("missing_rule_files"),
-    )
-    return services.join(mapped, "service").select(
+    return services.join(map_services(services, rule_paths), "service").select(
         "job_id", "pos", "service", "rules", "missing_rule_files", (F.size("rules") > 0).alias("covered")
     )
 

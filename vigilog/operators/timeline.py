@@ -114,11 +114,18 @@ def cap_per_source(
             F.when(F.col("_before") + F.col("_size") > n, n - F.col("_before")).alias("_quota"),
         )
     )
-    rows = df.withColumn("_block", F.expr(f"line_no div {CAP_BLOCK}")).join(kept, [source, "_block"])
+    # One row per source: the block of the cut, and how many of its lines stay if not all do.
+    furthest = F.min if which == "last" else F.max
+    edges = kept.groupBy(source).agg(
+        furthest("_block").alias("_edge"), F.max("_quota").alias("_quota")
+    )
+    rows = df.withColumn("_block", F.expr(f"line_no div {CAP_BLOCK}")).join(edges, source)
+    at_edge = F.col("_block") == F.col("_edge")
+    inside = F.col("_block") > F.col("_edge") if which == "last" else F.col("_block") < F.col("_edge")
+    whole = rows.filter(inside | (at_edge & F.col("_quota").isNull()))
     rank = Window.partitionBy(source, "_block").orderBy(nearest("line_no"))
-    whole = rows.filter(F.col("_quota").isNull())
     cut = (
-        rows.filter(F.col("_quota").isNotNull())
+        rows.filter(at_edge & F.col("_quota").isNotNull())
         .withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= F.col("_quota"))
         .drop("_rank")
