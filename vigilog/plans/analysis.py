@@ -40,9 +40,11 @@ def find_matches(
 ) -> DataFrame:
     """Matches of all rules, stored. The logs are searched once; hits are few and are kept."""
     hits = stored(search_rules(logs, rules, compat=compat))
-    matches = detect(hits, rules, keys, sequence_key=sequence_key, compat=compat)
-    simple = not rules.active("threshold", "sequence")
-    return hits if simple else stored(matches)
+    # No more pairs than patterns. Stages for kinds of rules without any hit are then not planned.
+    pairs = hits.select("rule_path", "pattern_idx").distinct().collect()
+    left = rules.with_hits({(row.rule_path, row.pattern_idx) for row in pairs})
+    matches = detect(hits, left, keys, sequence_key=sequence_key, compat=compat)
+    return stored(matches) if left.active("threshold", "sequence") else matches
 
 
 def analyse(

@@ -136,6 +136,15 @@ class RuleSet:
             and (len(r.steps) >= 2 if r.type == "sequence" else r.patterns)
         ]
 
+    def with_hits(self, hit: set) -> RuleSet:
+        """The rules that can still match, given the (path, pattern index) pairs that were found."""
+        def possible(rule: Rule) -> bool:
+            if rule.type == "sequence":
+                return {(rule.path, 0), (rule.path, 1)} <= hit
+            return any((rule.path, i) in hit for i in range(len(rule.patterns)))
+
+        return RuleSet([r for r in self.rules if possible(r)], self.errors, self.compat)
+
     def dataframe(self, spark: SparkSession) -> DataFrame:
         """One row per rule; ``MAX_RULES`` bounds it, so joins may broadcast it."""
         if len(self.rules) > MAX_RULES:
