@@ -134,7 +134,8 @@ def _clauses(tree) -> list:
             elif op is C.AT:
                 continue
             else:
-                if op is C.BRANCH and run:
+                # A run too short for a test of its own is joined with what may follow it.
+                if op is C.BRANCH and run and not _usable("".join(run)):
                     starts = _starts([(op, arg)])
                     if all(starts):
                         found.append(tuple(sorted({"".join(run) + s for s in starts})))
