@@ -6,6 +6,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -22,7 +23,7 @@ def connect(folder: str):
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "~null"
     if isinstance(value, float):
         return round(value, 6)
