@@ -272,6 +272,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
         live = scratch.keep(placed.join(n_of, "node").select("region", "node", "n").distinct(), "regions")
     out = classes.join(comps.withColumnRenamed("component", "c"), "node", "left").select(
         "digest", F.col("node").alias("class_id"), F.coalesce("c", "node").alias("component"))
+    out = scratch.keep(out, "answer")  # so that the join may split the rows of a hot set
     rows = sets.select("doc_id", "n", F.col("digest").alias("own")).join(out, F.col("own") == F.col("digest"), "left")
     return rows.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vigilog.llm import mixing, secrets, urls, warc
+from vigilog.llm import jaccard, mixing, secrets, tokens, urls, vectors, warc
 
 _MODULES = {
+    "op1_jaccard_join": jaccard,
     "op2_url_filter": urls,
     "op3_mixing": mixing,
+    "op4_token_files": tokens,
+    "op5_vector_dedup": vectors,
     "op9_secrets": secrets,
     "op10_warc": warc,
 }

@@ -124,7 +124,7 @@ def fetch(bundle: str, frame_offset: int, frame_bytes: int, record_offset: int)
     return headers, block
 
 
-def write_bundles(pages: DataFrame, folder: str, smallest_revisit: int = SMALLEST_REVISIT) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, smallest_revisit: int = SMALLEST_REVISIT, scratch: Scratch | None = None) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) and return the index, a written table.
 
     Of rows with equal payloads of at least ``smallest_revisit`` bytes, the one with the smallest
@@ -142,6 +142,8 @@ def write_bundles(pages: DataFrame, folder: str, smallest_revisit: int = SMALLES
     first = keyed.groupBy("same").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))).alias("first"))
     first = first.select("same", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    # Written, so that the join below is free to split the rows of a payload that many pages share.
+    first = (scratch or Scratch(spark, "warc")).keep(first, "first")
     joined = keyed.select("page_id", "url", "payload", "n", "same").join(first, "same", "left")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.coalesce("url", F.lit("")).eqNullSafe(F.col("first_url"))
     rows = joined.select(
@@ -231,7 +233,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
 
 def query(spark, folder: str) -> DataFrame:
-    index = write_bundles(table(spark, folder, "pages"), Scratch(spark, "warc").root)
+    scratch = Scratch(spark, "warc")
+    index = write_bundles(table(spark, folder, "pages"), scratch.root, scratch=scratch)
     return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
