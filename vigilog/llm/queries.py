@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilog.llm import jaccard, mixing, secrets, tokens, urls, vectors, warc
+from vigilog.llm import jaccard, language, mixing, secrets, tokens, urls, vectors, warc
 
 _MODULES = {
     "op1_jaccard_join": jaccard,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_mixing": mixing,
     "op4_token_files": tokens,
     "op5_vector_dedup": vectors,
+    "op6_language": language,
     "op9_secrets": secrets,
     "op10_warc": warc,
 }
