@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilog.llm import decontaminate, jaccard, language, mixing, secrets, tokens, urls, vectors, warc
+from vigilog.llm import decontaminate, jaccard, language, lines, mixing, secrets, tokens, urls, vectors, warc
 
 _MODULES = {
     "op1_jaccard_join": jaccard,
@@ -11,6 +11,7 @@ _MODULES = {
     "op4_token_files": tokens,
     "op5_vector_dedup": vectors,
     "op6_language": language,
+    "op7_line_dedup": lines,
     "op8_decontaminate": decontaminate,
     "op9_secrets": secrets,
     "op10_warc": warc,
