@@ -105,13 +105,13 @@ def test_manifest_and_tampering(spark, tree):
     assert sorted(map(tuple, in_chunks.collect())) == sorted(map(tuple, stored.collect()))
     signature = integrity.sign(stored)
     signature = spark.createDataFrame(signature.collect(), signature.schema)
-    assert integrity.verify_signature(stored, signature).first().valid
+    assert integrity.verify_row_signature(stored, signature).first().valid
     log.write_bytes(log.read_bytes().replace(b"root", b"r00t", 1))
     (log.parent.parent / "system_info.json").unlink()
     now = evidence.build_manifest(spark, str(tree))
     status = {r.filename: r.status for r in integrity.verify(stored, now).collect()}
     assert status == {"auth.log": "failed", "system_info.json": "missing", "nginx_access.log.gz": "passed", "services_inventory.json": "passed"}
-    assert not integrity.verify_signature(now, signature).first().valid
+    assert not integrity.verify_row_signature(now, signature).first().valid
     totals = integrity.manifest_totals(stored).first()
     assert totals.artifact_count == 4
 
@@ -168,8 +168,11 @@ def test_time_window_and_cap(spark, make_logs):
 
 
 def test_dedupe(make_logs, spark):
-    logs = make_logs([(1, "s", "m"), (1, "s", "m"), (2, "s", "m"), (None, "s", "m"), (None, "s", "m")])
-    assert sorted(r.line_no for r in tml.dedupe(logs).collect()) == [1, 3, 4, 5]
+    logs = make_logs([(1, "s", "m"), (1.2, "s", "m"), (2, "s", "m"), (None, "s", "m"), (None, "s", "m")])
+    assert sorted(r.line_no for r in tml.dedupe(logs).collect()) == [1, 2, 3, 4, 5]  # one source: real repeats
+    journal = make_logs([(1.25, "s", "m"), (2.5, "s", "m"), (3, "s", "m")]).withColumns(
+        {"source_file": F.lit("/j"), "format": F.lit("journal"), "line_no": F.col("line_no") + 10})
+    assert sorted(r.line_no for r in tml.dedupe(logs.unionByName(journal)).collect()) == [1, 2, 4, 5, 12, 13]
 
 
 def test_top_events_and_order(make_logs):

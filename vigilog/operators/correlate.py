@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import lookups as L
+from vigilog.functions.text import iso_time
 
 
 def _field(name: str) -> Column:
@@ -27,18 +28,17 @@ def _top(df: DataFrame, count: str, ties: list, k: int, keys: tuple) -> DataFram
 def _activity(logs: DataFrame, field: str, name: str, keys: tuple) -> DataFrame:
     """Events, services and first/last time per value.
 
+    Times are compared as instants and written in UTC; a value with undated events only has none.
     Distinct services need no second shuffle of raw rows: counts per (value, service) come first.
     """
-    per_service = logs.select(*keys, _field(field).alias(name), "service", "timestamp").groupBy(
+    per_service = logs.select(*keys, _field(field).alias(name), "service", "ts").groupBy(
         *keys, name, "service"
-    ).agg(
-        F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
-    )
+    ).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return per_service.filter(F.col(name) != "").groupBy(*keys, name).agg(
         F.sum("n").alias("event_count"),
         F.count("service").alias("services_touched"),
-        F.min("first").alias("first_seen"),
-        F.max("last").alias("last_seen"),
+        iso_time(F.min("first")).alias("first_seen"),
+        iso_time(F.max("last")).alias("last_seen"),
     )
 
 
@@ -92,12 +92,12 @@ def auth_failures_by_ip(
     phrases = [f"%{p}%" for p in L.AUTH_FAILURE_PHRASES]
     failures = (
         logs.filter(_any_like(F.col("message"), phrases))
-        .select(*keys, _field("src_ip").alias("src_ip"), "timestamp")
+        .select(*keys, _field("src_ip").alias("src_ip"), "ts")
         .filter(F.col("src_ip").isNotNull())
         .groupBy(*keys, "src_ip")
         .agg(
             F.count("*").alias("failure_count"),
-            F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+            iso_time(F.min("ts")).alias("first_seen"), iso_time(F.max("ts")).alias("last_seen"),
         )
         .filter(F.col("failure_count") >= at_least)
     )

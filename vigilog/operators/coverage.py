@@ -129,11 +129,23 @@ def _mapped(condition: str) -> Column:
     return F.expr(f"get(filter(array({entries}), k -> {condition}), 0).rules")
 
 
-def map_services(services: DataFrame, rule_paths: DataFrame) -> DataFrame:
+def _by_rules(rules) -> Column:
+    """Files of the rules in use whose own service field applies to ``service``, as in the search."""
+    tests = [
+        f"CASE WHEN contains(service, {sql_string(rule.service)}) THEN {sql_string(rule.path)} END"
+        for rule in (rules.active() if rules else ()) if rule.service not in ("*", "linux")
+    ]
+    return F.expr(f"array_compact(array({', '.join(tests)}))" if tests else "CAST(array() AS array<string>)")
+
+
+def map_services(services: DataFrame, rule_paths: DataFrame, rules=None) -> DataFrame:
     """(service, rules, missing_rule_files) per distinct normalised name.
 
     The rules are those mapped to the name, else to the first known name that contains it or is
-    part of it, else ``services/<name>.yaml``. The map is a constant inside the expression.
+    part of it, else ``services/<name>.yaml``; then those of ``rules``, the rule set in use, whose own
+    service field applies. A mapped file is only missed if no rule in use applies. The map is a
+    constant inside the expression. ``rule_paths`` is small by nature; Spark measures it before it
+    broadcasts it.
     """
     names = services.select("service").distinct()
     candidate = F.concat(F.lit("services/"), F.col("service"), F.lit(".yaml"))
@@ -150,28 +162,32 @@ def map_services(services: DataFrame, rule_paths: DataFrame) -> DataFrame:
         F.posexplode_outer(F.coalesce("listed", "own")).alias("ord", "rule_path"),
     )
     existing = rule_paths.select("rule_path", F.lit(True).alias("exists")).distinct()
-    checked = paths.join(F.broadcast(existing), "rule_path", "left")
+    checked = paths.join(existing, "rule_path", "left")
     row = F.struct("ord", "rule_path")
     # A file that is merely guessed from the name is not missed.
     found = F.array_sort(F.collect_list(F.when(F.col("exists"), row)))
     missing = F.array_sort(F.collect_list(F.when(F.col("exists").isNull() & F.col("listed"), row)))
-    return checked.groupBy("service").agg(
+    mapped = checked.groupBy("service").agg(
         found["rule_path"].alias("rules"),
         F.filter(missing["rule_path"], lambda p: p.isNotNull()).alias("missing_rule_files"),
     )
+    own = _by_rules(rules)
+    missed = F.when(F.size(own) == 0, F.col("missing_rule_files")).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return mapped.select("service", F.array_union("rules", own).alias("rules"), missed.alias("missing_rule_files"))
 
 
-def coverage(inventories: DataFrame, rule_paths: DataFrame) -> DataFrame:
+def coverage(inventories: DataFrame, rule_paths: DataFrame, rules=None) -> DataFrame:
     """(job_id, pos, service, rules, missing_rule_files, covered), infrastructure left out.
 
-    ``rule_paths`` (rule_path) lists the rule files that exist: a bounded table.
+    ``rule_paths`` (rule_path) lists the rule files that exist; ``rules`` is the rule set in use, whose
+    service fields count beside the fixed map.
     """
     services = (
         detected_services(inventories)
         .withColumn("service", normalise_service(F.col("service")))
         .filter(~is_infrastructure(F.col("service")))
     )
-    return services.join(map_services(services, rule_paths), "service").select(
+    return services.join(map_services(services, rule_paths, rules), "service").select(
         "job_id", "pos", "service", "rules", "missing_rule_files", (F.size("rules") > 0).alias("covered")
     )
 

@@ -66,24 +66,23 @@ def search_rules(
     """One row per (entry, rule) hit; for sequence rules one per (entry, step) hit.
 
     The first pattern that occurs wins. ``captured`` holds the named groups (NULL: took no part),
-    overridden by the entry's own extracted fields except in sequences. ``match_on='raw'``, the
-    default outside ``compat``, searches the whole line of access logs, whose message lacks the
-    address, referer and user agent; 'message' searches messages only.
+    overridden by the entry's own extracted fields except in sequences. Each pattern is tried on the
+    message. With ``match_on='raw'``, the default outside ``compat``, it is then tried on the whole line
+    of access logs, whose message lacks the address, referer and user agent; 'message' does not.
     """
     match_on = match_on or ("message" if compat else "raw")
     active = rules.active(*types)
-    text = F.col("message")
-    if match_on == "raw":
-        text = F.when(F.col("format") == "access", F.col("raw")).otherwise(text)
-    prepared = logs.withColumn("_text", text).select(
-        "*", F.expr(R.prefilter_text("_text")).alias("_low"), F.lower("service").alias("_service")
+    line = F.when(F.col("format") == "access", F.col("raw")) if match_on == "raw" else F.lit(None).cast("string")
+    prepared = logs.withColumns({"_text": F.col("message"), "_line": line, "_both": F.concat_ws("\n", "message", line)}).select(
+        "*", F.expr(R.prefilter_text("_both")).alias("_low"), F.lower("service").alias("_service")
     )
+    whole = match_on == "raw"
     shared = {}
     if use_prefilter:
         shared = R.shared_clauses(p for rule in active for p in (*rule.patterns, *rule.steps[:2]))
         tests = [F.expr(R.contains_any("_low", c)).alias(name) for c, name in shared.items()]
         prepared = prepared.select("*", *tests)
-    hits = [hit for rule in active for hit in _hits_sql(rule, compat, use_prefilter, shared)]
+    hits = [hit for rule in active for hit in _hits_sql(rule, compat, use_prefilter, shared, whole)]
     if not hits:
         hits = [_hit_struct("", "", "", 0, "CAST(map() AS map<string,string>)", "false")]
     # One column per rule, gathered in a step of its own: Spark compiles a wide projection in small
@@ -111,14 +110,17 @@ def search_rules(
     )
 
 
-def _hits_sql(rule: Rule, compat: bool, use_prefilter: bool, shared: dict) -> list[str]:
+def _hits_sql(rule: Rule, compat: bool, use_prefilter: bool, shared: dict, whole: bool) -> list[str]:
     scoped = _scope_sql(rule, compat)
 
     def branch(i, pattern):
-        found = R.search("_text", pattern)
+        found, captured = R.search("_text", pattern), R.capture("_text", pattern)
+        if whole:
+            captured = f"CASE WHEN {found} THEN {captured} ELSE {R.capture('_line', pattern)} END"
+            found = f"({found} OR (_line IS NOT NULL AND {R.search('_line', pattern)}))"
         if use_prefilter:
             found = f"{R.prefilter('_low', pattern, shared)} AND {found}"
-        return found, (rule.path, rule.id, rule.type, i, R.capture("_text", pattern))
+        return found, (rule.path, rule.id, rule.type, i, captured)
 
     if rule.type == "sequence":
         steps = [branch(i, p) for i, p in enumerate(rule.steps[:2])]

@@ -94,8 +94,23 @@ def verify(manifest: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def verify_signature(manifest: DataFrame, signatures: DataFrame) -> DataFrame:
-    fresh = sign(manifest).withColumnRenamed("manifest_sha256", "actual")
+def file_signature(manifest_files: DataFrame) -> DataFrame:
+    """(job_id, manifest_sha256) of manifest files as they are stored: (job_id, content)."""
+    return manifest_files.select("job_id", F.sha2("content", 256).alias("manifest_sha256"))
+
+
+def verify_signature(manifest_files: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Signatures (job_id, manifest_sha256) against the bytes of the manifest files (job_id, content)."""
+    return _compared(file_signature(manifest_files), signatures)
+
+
+def verify_row_signature(manifest: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The same for ``sign``, which hashes a manifest's rows."""
+    return _compared(sign(manifest), signatures)
+
+
+def _compared(fresh: DataFrame, signatures: DataFrame) -> DataFrame:
+    fresh = fresh.withColumnRenamed("manifest_sha256", "actual")
     return signatures.join(fresh, "job_id", "left").select(
         "job_id", F.col("manifest_sha256").alias("expected"), "actual",
         F.coalesce(F.col("manifest_sha256") == F.col("actual"), F.lit(False)).alias("valid"),

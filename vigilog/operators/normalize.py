@@ -346,6 +346,9 @@ def _columns(
     )
     for column in ("hostname", "service", "raw"):
         columns[column] = F.left(columns[column], F.lit(L.LIMITS[column]))
+    if not compat:
+        # Rules search the whole access line: its end must not fall to a long URI.
+        columns["raw"] = F.when(F.col("kind") == "access", raw).otherwise(columns["raw"])
 
     parsed = [
         *[F.col(c) for c in PLAIN], F.col("ts"), X.epoch_seconds(F.col("ts")).alias("ts_epoch"),

@@ -22,8 +22,9 @@ def _order(compat: bool = False) -> list:
 def timeline(logs: DataFrame, *, compat: bool = False) -> DataFrame:
     """All rows in time order, by a range-partitioned sort: no task sees more than its range."""
     lifted = lambda name: F.coalesce(F.try_element_at("extracted", F.lit(name)), F.lit("")).alias(name)
-    rows = logs.orderBy(*_order(compat))
-    return rows.select(
+    # Cut to what stays before the sort; the order's own columns go along and are dropped after it.
+    rows = logs.select(
+        F.col("ts"), F.col("source_file").alias("_path"), "line_no",
         "timestamp", "ts_epoch", "hostname", "service", "pid", "level",
         lifted("src_ip"), lifted("user"),
         F.left(F.coalesce(F.try_element_at("extracted", F.lit("uri")), F.lit("")), F.lit(L.LIMITS["timeline_uri"])).alias("uri"),
@@ -31,15 +32,17 @@ def timeline(logs: DataFrame, *, compat: bool = False) -> DataFrame:
         F.left("message", F.lit(L.LIMITS["timeline_message"])).alias("message"),
         base_name(F.col("source_file")).alias("source_file"),
     )
+    ts, _, line_no = _order(compat)
+    return rows.orderBy(ts, F.asc("_path"), line_no).drop("ts", "_path", "line_no")
 
 
 def top_events(logs: DataFrame, limit: int = 50, *, compat: bool = False) -> DataFrame:
-    """The first events of level warn or worse; at most 100 are kept for any limit."""
+    """The first events of level warn or worse; ``compat`` keeps at most 100 for any limit."""
     rank = F.coalesce(lookup(L.LEVEL_RANKS, F.col("level")), F.lit(L.UNKNOWN_LEVEL_RANK))
     rows = (
         logs.filter(rank <= L.TOP_EVENT_MAX_RANK)
         .orderBy(*_order(compat))
-        .limit(min(limit, L.TOP_EVENT_POOL))
+        .limit(min(limit, L.TOP_EVENT_POOL) if compat else limit)
     )
     field = lambda name: F.coalesce(F.try_element_at("extracted", F.lit(name)), F.lit("")).alias(name)
     return rows.select(
@@ -81,11 +84,21 @@ def log_stats(parsed: DataFrame) -> DataFrame:
 
 
 def filter_window(
-    logs: DataFrame, hours: int = L.DEFAULT_WINDOW_HOURS, reference_ts: datetime | None = None
+    logs: DataFrame, hours: int = L.DEFAULT_WINDOW_HOURS, reference_ts: datetime | None = None,
+    undated: bool = False,
 ) -> DataFrame:
-    """Only the last hours before the reference time: a plain comparison, which reaches the scan."""
+    """Only the last hours before the reference time: a plain comparison, which reaches the scan.
+
+    Undated rows are left out unless ``undated`` asks for them. A table stored by day (``dt``) is read
+    from the first day of the window on, with the folder of undated rows if they are wanted.
+    """
     ref = F.lit(reference_ts).cast("timestamp") if reference_ts else F.current_timestamp()
-    return logs.filter(F.col("ts") >= ref - F.make_interval(hours=F.lit(hours)))
+    first = ref - F.make_interval(hours=F.lit(hours))
+    wanted = F.col("ts") >= first
+    if "dt" in logs.columns:
+        wanted = wanted & (F.col("dt") >= F.to_date(first))
+        return logs.filter(wanted | F.col("dt").isNull()) if undated else logs.filter(wanted)
+    return logs.filter(wanted | F.col("ts").isNull()) if undated else logs.filter(wanted)
 
 
 def cap_per_source(
@@ -134,22 +147,19 @@ def cap_per_source(
 
 
 def dedupe(logs: DataFrame) -> DataFrame:
-    """One row per event that several exports of a job carry (same time, process and message).
+    """Each event once that several sources of a job carry, and every repeat that one source carries.
 
-    Of the copies the first by preferred source survives: journal exports before log files. The
-    choice is a minimum, so it combines before the shuffle. Undated rows are all kept: nothing tells
-    a copy from a repeated event.
+    Entries alike in second, host, service, process and message are copies if they stand in different
+    sources. The source that has most of them keeps all of its own, and the others lose theirs; a
+    journal goes before log files, then the first name. Entries are told apart by a 128-bit hash,
+    and only hashes and counts are grouped. Undated rows are all kept: nothing tells a copy from
+    another event.
     """
-    same = ["job_id", "ts", "hostname", "service", "pid", "message"]
-    dated = logs.filter(F.col("ts").isNotNull())
-    rest = [c for c in logs.columns if c not in same and c != "extracted"]
-    preferred = F.struct(
-        F.when(F.col("format") == "journal", 0).otherwise(1).alias("preference"),
-        "source_file", "line_no",
-    )
-    row = F.struct(*rest, F.to_json("extracted").alias("extracted"))
-    best = dated.groupBy(*same).agg(F.min_by(row, preferred).alias("_r")).select(
-        *same, *[F.col(f"_r.{c}").alias(c) for c in rest],
-        F.from_json("_r.extracted", "map<string,string>").alias("extracted"),
-    )
-    return best.select(*logs.columns).unionByName(logs.filter(F.col("ts").isNull()))
+    same = F.md5(F.to_json(F.struct(
+        F.date_trunc("second", "ts").alias("s"), "hostname", "service", "pid", "message")))
+    keyed = logs.withColumn("_key", F.when(F.col("ts").isNotNull(), same))
+    counts = keyed.filter("_key IS NOT NULL").groupBy("job_id", "_key", "source_file").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("format") == "journal", 0).otherwise(1)).alias("kind"))
+    place = F.row_number().over(Window.partitionBy("job_id", "_key").orderBy(F.desc("n"), "kind", "source_file"))
+    lost = counts.withColumn("place", place).filter("place > 1").select("job_id", "_key", "source_file")
+    return keyed.join(lost, ["job_id", "_key", "source_file"], "left_anti").select(*logs.columns)

@@ -15,13 +15,17 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """One line per event: errors as sshd syslog, the rest as web access, spread over four hosts."""
+def event_lines(events: DataFrame, offsets: bool = False) -> DataFrame:
+    """One line per event: errors as sshd syslog, the rest as web access, spread over four hosts.
+
+    With ``offsets``, web servers write the local time of one of three zones.
+    """
     # Rendered in two steps, so that each part is computed once.
     events = events.select(
         "*", F.get_json_object("props", "$.k").alias("k"),
-        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd MMM HH:mm:ss").alias("at"),
+        F.date_format(F.col("ts").cast("timestamp") + F.make_interval(hours=_hours(offsets)), "yyyy-MM-dd MMM HH:mm:ss").alias("at"),
     )
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("+0000", "+0200", "-0500")]), F.col("event_id").cast("int") % 3 + 1) if offsets else F.lit("+0000")
     k, at = F.col("k"), F.col("at")
     month, clock = F.substring(at, 12, 3), F.substring(at, 16, 8)
     user = F.col("user_id")
@@ -48,7 +52,7 @@ def event_lines(events: DataFrame) -> DataFrame:
     )
     access = F.concat(
         ip, F.lit(" - u"), user, F.lit(" ["), F.substring(at, 9, 2), F.lit("/"), month, F.lit("/"),
-        F.left(at, F.lit(4)), F.lit(":"), clock, F.lit(' +0000] "'),
+        F.left(at, F.lit(4)), F.lit(":"), clock, F.lit(" "), zone, F.lit('] "'),
         request, F.lit(' HTTP/1.1" '), status, F.lit(' 12 "-" "agent/'), k, F.lit('"'),
     )
     path = F.concat(
@@ -62,6 +66,13 @@ def event_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def _hours(offsets: bool):
+    if not offsets:
+        return F.lit(0)
+    local = F.element_at(F.array(*[F.lit(h) for h in (0, 2, -5)]), F.col("event_id").cast("int") % 3 + 1)
+    return F.when(F.col("event_type") == "error", 0).otherwise(local)
+
+
 def document_lines(documents: DataFrame) -> DataFrame:
     """One row per non-empty line of the documents, whole, as undated generic log rows."""
     lines = documents.select(

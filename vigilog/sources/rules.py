@@ -112,6 +112,10 @@ class RuleSet:
             return
         if rule.type == "threshold" and rule.count < 1:
             self.errors.append((path, None, "threshold count below 1"))
+        elif rule.type == "sequence" and not self.compat and len(rule.steps) < len(steps):
+            self.errors.append((path, None, "a sequence with a step that is empty or does not compile"))
+        elif rule.type == "sequence" and not self.compat and len(rule.steps) > 2:
+            self.errors.append((path, None, "a sequence of more than two steps is not evaluated"))
         else:
             self.rules.append(rule)
 
