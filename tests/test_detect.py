@@ -105,7 +105,7 @@ def test_access_lines_are_searched_whole(spark, make_logs):
     logs = make_logs([(1, "nginx", "GET / HTTP/1.1 -> 200")]).select("*").withColumn(
         "format", F.lit("access")).withColumn("raw", F.lit('1.2.3.4 - - "GET / HTTP/1.1" 200 "sqlmap"'))
     rs = rules(a=rule(patterns=["sqlmap"]), b=rule(patterns=["-> 200"]))
-    assert [p for p, *_ in found(det.detect_pattern(logs, rs))] == ["a"]
+    assert [p for p, *_ in found(det.detect_pattern(logs, rs))] == ["a", "b"]
     assert [p for p, *_ in found(det.detect_pattern(logs, rs, match_on="message"))] == ["b"]
 
 
@@ -270,3 +270,15 @@ def test_status(spark, confidence, count, expected):
 
     df = spark.createDataFrame([(confidence, count)], "c string, n bigint")
     assert df.select(fnd.finding_status(F.col("c"), F.col("n"))).first()[0] == expected
+
+
+def test_sequences_that_cannot_be_evaluated_are_reported():
+    from vigilog.sources.rules import RuleSet
+
+    def sequence(*steps):
+        return {"id": "X", "detection": {"type": "sequence", "steps": [{"regex": s} for s in steps]}}
+
+    rs = RuleSet.from_dicts({"bad.yaml": sequence("a", "(", "b"), "three.yaml": sequence("a", "b", "c"), "two.yaml": sequence("a", "b")})
+    assert [r.path for r in rs.active()] == ["two.yaml"]
+    assert {e[0] for e in rs.errors} == {"bad.yaml", "three.yaml"}
+    assert len(RuleSet.from_dicts({"three.yaml": sequence("a", "b", "c")}, compat=True).active()) == 1
