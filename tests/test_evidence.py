@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigilog import RuleSet
 from vigilog.operators import coverage as cov
 from vigilog.operators import integrity, summary
+from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
 from vigilog.plans.analysis import analyse
 from vigilog.sources import evidence, sinks
@@ -192,3 +193,26 @@ def test_acquisition(spark):
     assert (rows["j"].duration, rows["j"].commands_logged, rows["j"].errors) == ("2m 5s", 1, 2)
     assert (rows["k"].duration, rows["k"].connection_closed) == ("N/A", False)
     assert [tuple(r) for r in summary.acquisition_errors(df).collect()] == [("j", 2, 2)]
+
+
+def test_broken_files_do_not_end_the_job(spark, tmp_path):
+    import gzip
+
+    logs = tmp_path / "20260413_080000_web" / "01_evidence" / "raw" / "logs"
+    logs.mkdir(parents=True)
+    line = "Apr 13 08:01:00 web cron[1]: job {}\n"
+    (logs / "good.log").write_text("".join(line.format(i) for i in range(10)))
+    whole = gzip.compress("".join(line.format(i * 7919) for i in range(20000)).encode())
+    (logs / "cut.log.gz").write_bytes(whole[:len(whole) // 2])
+    (logs / "none.log.gz").write_bytes(b"no gzip at all")
+    (logs / "odd {name},[x].log").write_text("\n" * 250 + '{"__REALTIME_TIMESTAMP": "1744531200000000", "MESSAGE": "m"}\n')
+    heads = evidence.read_heads(spark, str(logs))
+    found = {r.path.rsplit("/", 1)[1]: r.format for r in nrm.format_of_heads(heads).collect()}
+    assert found["good.log"] == found["cut.log.gz"] == "syslog" and found["odd {name},[x].log"] == "journal"
+    assert {r.path.rsplit("/", 1)[1] for r in heads.filter("error is not null").collect()} == {"none.log.gz"}
+    assert {r.path.rsplit("/", 1)[1] for r in evidence.broken_files(spark, str(logs)).collect()} == {"cut.log.gz", "none.log.gz"}
+    lines, kinds = evidence.read_logs_by_format(spark, nrm.format_of_heads(heads))
+    counts = {r.source_file.rsplit("/", 1)[1]: r["count"] for r in lines.groupBy("source_file").count().collect()}
+    assert counts["good.log"] == 10 and kinds == ["generic", "journal", "syslog"]
+    plan = nrm.normalize(lines, kinds=kinds)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Exchange" not in plan

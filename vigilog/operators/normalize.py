@@ -55,7 +55,7 @@ AUTH_USER = r"(?i)(?:\bfor\s+(?:invalid\s+user\s+)?|\binvalid\s+user\s+|\buser=)
 def format_of(name: Column, sample: Column) -> Column:
     """Format label from a file's base name and its first 2,000 characters."""
     name = F.lower(name)
-    body = F.trim(sample)
+    body = F.regexp_replace(sample, r"^[\s\x1c-\x1f]+", "")
     json = F.startswith(body, F.lit("{"))
     first = X.strip_cr(F.substring_index(F.regexp_replace(sample, "\r\n?", "\n"), "\n", 1))
     journal_name = F.contains(name, F.lit("journal")) & (
@@ -79,18 +79,18 @@ def format_of(name: Column, sample: Column) -> Column:
     )
 
 
-def detect_format(lines: DataFrame, head_lines: int = 200) -> DataFrame:
-    """One row per file: (source_file, format).
+def detect_format(lines: DataFrame) -> DataFrame:
+    """One row per file: (source_file, format), for lines that are in a table already.
 
-    Needs the head of each file only. The row-number filter is applied inside each partition
-    before the shuffle, so at most ``head_lines`` rows per file and partition travel, however large
-    one file is. The sample is exact when ``head_lines`` lines hold 2,000 characters.
+    The first 2,000 characters decide, and as many lines hold them even if all are blank. The
+    row-number filter is applied inside each partition before the shuffle, however large one file
+    is. For files, ``evidence.read_heads`` and ``format_of_heads`` read no more than the heads.
     """
     order = Window.partitionBy("source_file").orderBy("line_no")
     head = (
         lines.select("source_file", "line_no", F.left("value", F.lit(SAMPLE_CHARS)).alias("value"))
         .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= head_lines)
+        .filter(F.col("rank") <= SAMPLE_CHARS)
     )
     samples = head.groupBy("source_file").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("head")
@@ -101,6 +101,12 @@ def detect_format(lines: DataFrame, head_lines: int = 200) -> DataFrame:
     )
 
 
+def format_of_heads(heads: DataFrame) -> DataFrame:
+    """(path, format) of (path, head): the first characters of each file."""
+    sample = F.left("head", F.lit(SAMPLE_CHARS))
+    return heads.select("path", format_of(X.base_name(F.col("path")), sample).alias("format"))
+
+
 # --------------------------------------------------------------------------- normalisation
 
 

@@ -11,10 +11,10 @@ from vigilog.operators import findings as fnd
 from vigilog.operators.correlate import correlate
 from vigilog.operators.coverage import coverage
 from vigilog.operators.detect import detect, search_rules
-from vigilog.operators.normalize import detect_format, normalize
+from vigilog.operators.normalize import format_of_heads, normalize
 from vigilog.operators.timeline import timeline, top_events
-from vigilog.session import stored, configure
-from vigilog.sources.evidence import read_job_json, read_logs
+from vigilog.session import configure, stored
+from vigilog.sources.evidence import read_heads, read_job_json, read_logs_by_format
 from vigilog.sources.rules import RuleSet
 from vigilog.sources.sinks import write_logs
 
@@ -53,11 +53,10 @@ def analyse(
 ) -> Analysis:
     """Parse the files below ``root`` into the Parquet table ``log_table``, then work on that."""
     configure(spark)
-    lines = read_logs(spark, f"{root}/*/01_evidence/raw/logs")
-    formats = stored(detect_format(lines))
-    # At most one label per format: the plan then holds the parsers that are needed.
-    kinds = [row.format for row in formats.select("format").distinct().collect()]
-    parsed = normalize(lines, formats, kinds=kinds, compat=compat, reference_ts=reference_ts)
+    heads = read_heads(spark, f"{root}/*/01_evidence/raw/logs")
+    # The plan then holds the parsers that are needed.
+    lines, kinds = read_logs_by_format(spark, format_of_heads(heads))
+    parsed = normalize(lines, kinds=kinds, compat=compat, reference_ts=reference_ts)
     write_logs(parsed, log_table, mode="overwrite")
     return analyse_logs(
         spark.read.parquet(log_table), rules, read_job_json(spark, root, "services"),
@@ -78,7 +77,7 @@ def analyse_logs(
         findings=fnd.order_findings(found),
         risk=fnd.risk(found, keys),
         priorities=fnd.prioritise(found, keys),
-        coverage=coverage(inventories, paths),
+        coverage=coverage(inventories, paths, rules),
         timeline=timeline(logs, compat=compat),
         top_events=top_events(logs, compat=compat),
         correlations=correlate(logs, keys),

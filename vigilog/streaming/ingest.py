@@ -10,9 +10,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilog.operators.normalize import detect_format, normalize
-from vigilog.session import stored
-from vigilog.sources.evidence import read_logs
+from vigilog.operators.normalize import format_of_heads, normalize
+from vigilog.sources.evidence import read_heads, read_logs_by_format
 from vigilog.sources.sinks import write_logs
 
 MAX_FILES = 10_000  # per batch; bounds the list of paths the driver handles
@@ -38,10 +37,8 @@ def ingest_new(
         paths = [row.path for row in batch.distinct().collect()]
         if not paths:
             return
-        lines = read_logs(spark, paths)
-        formats = stored(detect_format(lines))
-        kinds = [row.format for row in formats.select("format").distinct().collect()]
-        parsed = normalize(lines, formats, kinds=kinds, compat=compat, reference_ts=reference_ts)
+        lines, kinds = read_logs_by_format(spark, format_of_heads(read_heads(spark, paths)))
+        parsed = normalize(lines, kinds=kinds, compat=compat, reference_ts=reference_ts)
         # A batch repeated after a failure replaces its own folder instead of adding to it.
         write_logs(parsed, f"{log_table}/batch={batch_id}", mode="overwrite")
 
