@@ -8,19 +8,25 @@ Jaccard distance between shingle sets is a metric. The space is cut in two level
    shingles, so the partner's home is among the document's ``n - ceil(t n) + 1`` nearest pivots. The
    document is replicated to those regions and no others. (With documents as first pivots this
    would not work: nearly all pairs of texts are at distance 1, so no window excludes anything.)
-2. *Documents as pivots*, within a region of more than a few documents: exact distances to some
-   pivots, a Voronoi cell for each, and copies of a document in all cells whose pivot is at most
-   two radii farther than its nearest (triangle inequality). Cells are regions again, and so on.
-
-Pairs are only compared while their documents are in different components, which is all that the
-result needs. Weights come from word counts over all documents; they steer the size of the
-regions, never the result. Shingles are 64-bit hashes, and equal sets are joined by 128 bits.
+2. *Documents as pivots*, within a region of more than a few documents: distances to some pivots,
+   a Voronoi cell for each, and copies of a document in all cells whose pivot is at most two radii
+   farther than its nearest (triangle inequality). Cells are regions again, and so on. Distances
+   here are between sketches, one parity bit for each class of shingles: they are a metric, never
+   above the size of the symmetric difference, and cost no text.
+
+Before a pair's texts are read, its sizes and sketches must allow a link. Pairs are only compared
+while their documents are in different components, which is all that the result needs.
+
+Weights steer the size of the regions, never the result. A shingle is no more frequent than its
+rarest word; where that word occurs fewer than ``RARE`` times it decides. A document that has too
+few such shingles has its others counted, over all such documents. Shingles are 64-bit hashes, and
+equal sets are joined by 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.llm.common import Scratch, components, table
@@ -28,13 +34,17 @@ from vigilog.llm.common import Scratch, components, table
 SHINGLE, PERCENT = 3, 90
 #: Words whose counts weigh; all others count as rare.
 COMMON_WORDS = 1 << 16
-#: A region up to this size is compared pair by pair.
-SMALL = 16
+#: Shingles with a rarer word than this need no count.
+RARE = 64
+#: In a region up to this size each sketch meets every other; texts are read of those that may link.
+SMALL = 4096
 #: Pivots of a larger one, and how often a document may stand in its cells on average.
-PIVOTS, SPREAD = 8, 2.0
+PIVOTS, SPREAD = 128, 2.0
+#: Longs of a sketch.
+SKETCH = 8
 #: Distinct words that a task remembers at a time.
 MEMORY = 1 << 19
-SETS = "doc_id bigint, n bigint, digest binary, keys array<bigint>"
+SETS = "doc_id bigint, n bigint, digest binary, keys array<bigint>, need int, rest array<bigint>, " + ", ".join(f"k{i} bigint" for i in range(SKETCH))
 
 
 class Words(dict):
@@ -118,34 +128,56 @@ def word_counts(docs: DataFrame, limit: int = COMMON_WORDS) -> dict[int, int]:
     return {r.word & (2**64 - 1): r.n for r in rows}
 
 
+def sketch(made: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * SKETCH classes."""
+    classes = ((made >> np.uint64(17)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(classes, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
-    """(doc_id, n, digest, keys): set size, name of the set, and its nearest single-shingle pivots."""
+    """SETS: set size, name of the set, its nearest single-shingle pivots, and its sketch.
+
+    ``need`` more pivots are to be chosen from ``rest``, which is empty if keys are enough.
+    """
     def make(batches):
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
         memory = Words(common.value)
+        empty = np.empty(0, np.uint64)
+
+        def lists(parts):
+            ends = np.cumsum([0] + [len(p) for p in parts])
+            flat = np.concatenate([empty, *parts]).view(np.int64)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sizes, digests, keys, ends = [], [], [], [0]
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sizes, digests, keys, need, rest, bits = [], [], [], [], [], []
                 for text in batch.column(1):
                     made, rare = shingle_set(split_words(text.as_py()), k, memory)
                     n = len(made)
                     reach = n - -(-percent * n // 100) + 1 if n else 0
-                    keys.append(made[np.argsort(rare, kind="stable")[:reach]])
-                    ends.append(ends[-1] + len(keys[-1]))
+                    order = np.argsort(rare, kind="stable")
+                    sure = min(reach, int((rare < RARE).sum()))
+                    keys.append(made[order[:sure]])
+                    need.append(reach - sure)
+                    rest.append(made[order[sure:]] if sure < reach else empty)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(made.tobytes()) if n else None)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
+                    bits.append(sketch(made))
+                bits = np.array(bits).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys), pa.array(need, pa.int32()), lists(rest)]
+                    + [pa.array(bits[:, i], pa.int64()) for i in range(SKETCH)],
+                    names=["doc_id", "n", "digest", "keys", "need", "rest"] + [f"k{i}" for i in range(SKETCH)])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(make, SETS)
 
 
-def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def measured(pairs: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(a, b, shared, total) of pairs (a, b): sizes of intersection and union of their sets."""
     def measure(batches):
         from collections import OrderedDict
@@ -179,10 +211,19 @@ def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 out.append((a.as_py(), b.as_py(), shared, len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
+    pairs = scratch.keep(pairs, "pairs")
+    # Only the texts of these pairs move.
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = scratch.keep(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi").distinct(), "texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(measure, "a bigint, b bigint, shared bigint, total bigint").groupBy("a", "b").agg(
-        F.max_by("shared", F.col("shared") / F.col("total")).alias("shared"), F.max_by("total", F.col("shared") / F.col("total")).alias("total"))
+    # An id with several texts has several sizes; the closest count.
+    ratio = F.col("shared") / F.col("total")
+    out = both.mapInArrow(measure, "a bigint, b bigint, shared bigint, total bigint").groupBy("a", "b").agg(
+        F.max_by("shared", ratio).alias("shared"), F.max_by("total", ratio).alias("total"))
+    out = scratch.keep(out, "measured")
+    scratch.drop(texts, pairs)
+    return out
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -204,72 +245,79 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     sets = scratch.keep(shingle_sets(docs, k, percent, common), "sets")
     classes = scratch.keep(
         sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
-    heads = sets.join(classes, (sets.digest == classes.digest) & (sets.doc_id == classes.node), "left_semi")
-    heads = heads.dropDuplicates(["doc_id", "digest"])
-    spots = heads.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("region"))
+    heads = sets.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")), "left_semi")
+    heads = scratch.keep(heads.dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "node"), "heads")
+    bits = [f"k{i}" for i in range(SKETCH)]
+
+    # Regions of single shingles.
+    rest = heads.filter("need > 0").select("node", "digest", "need", F.explode("rest").alias("region"))
+    weights = rest.groupBy("region").agg(F.count("*").alias("weight"))
+    nearest = F.row_number().over(Window.partitionBy("node", "digest").orderBy("weight", "region"))
+    chosen = rest.join(weights, "region").withColumn("place", nearest).filter("place <= need").select("node", "region")
+    spots = heads.select("node", F.explode("keys").alias("region")).union(chosen)
     shared = spots.groupBy("region").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail")
-    regions = scratch.keep(spots.join(shared.select("region", "head"), "region"), "regions")
-    nodes = regions.select("node").distinct()
-    texts = scratch.keep(
-        docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi").distinct(), "texts")
+    info = heads.select("node", "n", *bits)
+    regions = scratch.keep(spots.join(shared.select("region", "head"), "region").join(info, "node"), "regions")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # The other side of a pair: its node, size and sketch under other names.
+    other = lambda t, *more: t.select("region", F.col("node").alias("other"), F.col("n").alias("m"), *[F.col(f"k{i}").alias(f"l{i}") for i in range(SKETCH)], *more)
+    apart = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("k0").bitwiseXOR(F.col("l0"))))
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (
+        apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
     # First every document against the smallest of each of its regions, which settles nearly all.
-    sizes = regions.select("node", "n").distinct().groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("m"))
-    first = regions.filter("node <> head").select("node", "head", "n").distinct()
-    heads_n = sizes.select(F.col("node").alias("head"), F.col("n").alias("m"), F.col("m").alias("m0"))
-    # A node with several texts has several sizes; then its size excludes nothing.
-    first = first.join(heads_n, "head").filter(fits | (F.col("m") != F.col("m0"))).select(*pair(F.col("node"), F.col("head"))).distinct()
-    known = [scratch.keep(measured(first, texts, k), "measured")]
-
-    def all_known():
-        out = known[0]
-        for t in known[1:]:
-            out = out.union(t)
-        return out
-
-    def linked():
-        edges = all_known().filter(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
-        return components(edges, scratch)
-
-    comps = linked()
-    live = regions.select("region", "node", "n")
-    radius = 1 - percent / 100 + 1e-9
+    first = regions.filter("node <> head").join(other(regions.filter("node = head")), "region").filter(fits)
+    known = measured(first.select(*pair(F.col("node"), F.col("other"))).distinct(), docs, k, scratch)
+    linked = lambda t: t.filter(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
+    comps = components(linked(known), scratch)
+    live, rounds = regions.filter("node <> head").select("region", "node", "n", *bits), 0
     while True:
-        named = live.join(comps, "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("c"))
+        rounds += 1
+        named = live.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         stats = named.groupBy("region").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"))
-        open_ = stats.filter("c0 <> c1").select("region", "size")
-        now = scratch.keep(named.join(open_, "region"), "open")
+        now = scratch.keep(named.join(stats.filter("c0 <> c1").select("region", "size"), "region"), "open")
         if now.isEmpty():
             break
-        other = lambda t: t.select("region", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("c").alias("d"))
-        few = now.filter(F.col("size") <= SMALL)
-        close = few.join(other(few), "region").filter((F.col("node") < F.col("node2")) & (F.col("c") != F.col("d")) & fits)
-        many = now.filter(F.col("size") > SMALL)
-        slot = F.pmod(F.xxhash64("node", F.lit(len(known))), F.lit(PIVOTS))
-        pivots = many.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot"))
-        pivots = scratch.keep(pivots.select("region", "pivot"), "pivots")
-        spokes = many.join(pivots, "region").filter("node <> pivot").select("region", "node", "pivot")
-        want = close.select(*pair(F.col("node"), F.col("node2"))).union(spokes.select(*pair(F.col("node"), F.col("pivot")))).distinct()
-        fresh = measured(want.join(all_known(), ["a", "b"], "left_anti"), texts, k)
-        known.append(scratch.keep(fresh, "measured"))
-        comps = linked()
-        if pivots.isEmpty():
+        few, many = now.filter(F.col("size") <= SMALL), now.filter(F.col("size") > SMALL)
+        want = few.join(other(few, F.col("c").alias("c2")), "region").filter((F.col("node") < F.col("other")) & (F.col("c") != F.col("c2")) & fits)
+        want = want.select(*pair(F.col("node"), F.col("other")))
+        # A bounded list of pivots for each large region; a document meets them in one row.
+        slot = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(PIVOTS))
+        chosen = many.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("node")).select("region", "node")
+        pivots = many.join(chosen, ["region", "node"]).groupBy("region").agg(F.collect_list(F.struct(
+            "node", "n", "c", F.array(*bits).alias("bits"))).alias("pivots"))
+        own = F.array(*bits)
+        far = lambda p: F.aggregate(F.zip_with(p["bits"], own, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        met = many.join(pivots, "region").withColumn("pivots", F.transform("pivots", lambda p: F.struct(
+            p["node"].alias("node"), p["n"].alias("n"), p["c"].alias("c"), far(p).alias("far"))))
+        met = scratch.keep(met, "met")
+        close = F.filter("pivots", lambda p: (p["c"] != F.col("c")) & (p["node"] != F.col("node"))
+                         & (F.least(p["n"], F.col("n")) * 100 >= F.greatest(p["n"], F.col("n")) * percent)
+                         & (p["far"] * (100 + percent) <= (p["n"] + F.col("n")) * (100 - percent)))
+        spokes = met.select("node", F.explode(F.transform(close, lambda p: p["node"])).alias("other"))
+        want = want.union(spokes.select(*pair(F.col("node"), F.col("other")))).distinct()
+        fresh = measured(want.join(known, ["a", "b"], "left_anti"), docs, k, scratch)
+        links = linked(fresh)
+        if not links.isEmpty():
+            known = known.union(fresh)
+            comps = components(linked(known), scratch)
+        else:
+            known = known.union(fresh)
+        if met.isEmpty():
             break
-        # Pivots have met all of their region and leave it. Cells by exact distance, with windows.
-        ranged = spokes.select("region", "node", "pivot", *pair(F.col("node"), F.col("pivot"))).join(all_known(), ["a", "b"])
-        ranged = ranged.select("region", "node", "pivot", (1 - F.col("shared") / F.col("total")).alias("far"))
-        ranged = ranged.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        near = ranged.groupBy("region", "node").agg(F.min("far").alias("near"))
-        cells = ranged.join(near, ["region", "node"]).filter(F.col("far") <= F.col("near") + 2 * radius)
-        cells = scratch.keep(cells.select("region", "node", "pivot"), "cells")
-        load = cells.groupBy("region").agg((F.count("*") / F.count_distinct("node")).alias("load"))
-        placed = cells.join(load, "region").select(
-            F.when(F.col("load") <= SPREAD, F.xxhash64("region", "pivot")).otherwise(F.xxhash64("region", F.lit(len(known)))).alias("region"), "node").distinct()
-        n_of = many.select("node", "n").distinct()
-        live = scratch.keep(placed.join(n_of, "node").select("region", "node", "n").distinct(), "regions")
+        # Pivots have met all of their region and leave it. The others go to the cell of the nearest
+        # pivot, and to those that a partner's nearest may be: twice the radius farther at most.
+        rest = met.filter(~F.exists("pivots", lambda p: p["node"] == F.col("node")))
+        near = F.array_min(F.transform("pivots", lambda p: p["far"]))
+        window = F.floor(F.col("n") * (100 - percent) / percent) * 2
+        cells = F.transform(F.filter("pivots", lambda p: p["far"] <= near + window), lambda p: p["node"])
+        rest = rest.withColumn("cells", cells)
+        load = rest.groupBy("region").agg(F.avg(F.size("cells")).alias("load"))
+        rest = rest.join(load, "region")
+        alone = F.array(F.lit(-rounds).cast("bigint"))
+        rest = rest.withColumn("cell", F.explode(F.when(F.col("load") <= SPREAD, F.col("cells")).otherwise(alone)))
+        live = scratch.keep(rest.select(F.xxhash64("region", "cell").alias("region"), "node", "n", *bits), "live")
     out = classes.join(comps.withColumnRenamed("component", "c"), "node", "left").select(
         "digest", F.col("node").alias("class_id"), F.coalesce("c", "node").alias("component"))
     out = scratch.keep(out, "answer")  # so that the join may split the rows of a hot set
