@@ -82,10 +82,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         *[_spans(F.col("text"), pattern, group, least).alias(kind) for kind, pattern, group, least in BASE],
         *[_spans(F.col("text"), pattern, 0, 1, holds).alias(kind) for kind, pattern, holds in WEAK])
 
+    def named(kind):
+        number = F.lit(KINDS.index(kind))
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), number.alias("kind"), s["end"].alias("end")))
+
     def tagged(kinds):
-        return F.concat(*[
-            F.transform(k, lambda s, i=KINDS.index(k): F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
-            for k in kinds])
+        return F.concat(*[named(k) for k in kinds])
 
     found = found.select(
         "doc_id", "digest", *[F.size(k).cast("bigint").alias(f"n_{k}") for k, *_ in BASE],
@@ -115,6 +117,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     linked = linked.filter("inside = 0 AND linked = 1").groupBy("digest").agg(
         F.collect_list(F.struct("start", "kind", "end")).alias("extra"))  # of one text
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
+    linked = scratch.keep(linked, "linked")  # so that the join may split the rows of a hot text
     out = found.join(linked, "digest", "left").withColumn("extra", F.coalesce("extra", none))
     return out.select("doc_id", *[f"n_{k}" for k, *_ in BASE], "base",
                       F.array_sort(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("bigint").alias("n_linked"))
