@@ -13,13 +13,13 @@ def _place(path: str):
 def write_bytes(path: str, data: bytes) -> None:
     system, inner = _place(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(inner) as out:
+    with system.open_output_stream(inner, compression=None) as out:
         out.write(data)
 
 
 def read_bytes(path: str) -> bytes:
     system, inner = _place(path)
-    with system.open_input_stream(inner) as source:
+    with system.open_input_stream(inner, compression=None) as source:
         return source.read()
 
 
