@@ -18,9 +18,10 @@ RULES = (
 #: Share of a host's rank that goes on to its neighbours.
 DAMPING = 0.85
 ROUNDS = 8
-#: A host is blocked if its distrust exceeds its trust by this much. A host whose every page a rule
-#: blocks begins with 1 - DAMPING; the measure does not depend on the number of hosts.
-THRESHOLD = 0.1
+#: A host is blocked if the distrust that reaches it exceeds the trust that does by this much. A host
+#: whose every page a rule blocks sends out up to (1 - DAMPING) * DAMPING in a round; the measure does
+#: not depend on the number of hosts.
+THRESHOLD = 0.05
 LINK = r"""(?i)<a\x20[^>]*?href\x20*=\x20*["']?(?:https?:)?//([^\x20\x09-\x0D"'<>/?#]+)"""
 
 
@@ -87,8 +88,9 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     A rule decides its urls. Other urls go by their host: trust spreads along links from hosts in
     proportion to the share of their pages that a rule allows; distrust spreads against links from
     hosts in proportion to the share that a rule blocks, so that who links to blocked hosts is
-    distrusted. A host is blocked if its distrust exceeds its trust by ``threshold``. A host whose
-    pages a rule blocks only in part, and which nothing else speaks against, stays allowed.
+    distrusted. What a host starts with itself does not count for it, only what links bring: that a rule
+    blocks some of its pages says nothing about the others. It is blocked if the distrust that reaches
+    it exceeds the trust that does by ``threshold``.
 
     A NULL url, or one without ``://``, has an empty host and path, and is allowed. A NULL html has
     no links; relative links stay on their host and do not count. Rows that repeat are judged alike.
@@ -103,9 +105,11 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     hosts = scratch.keep(judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     trust = _spread(hosts.select("host", F.col("allowed").alias("seed")), edges, "src", "dst", damping, rounds, scratch)
     distrust = _spread(hosts.select("host", F.col("blocked").alias("seed")), edges, "dst", "src", damping, rounds, scratch)
-    ranks = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(
+    ranks = hosts.join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(
         distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-    # One row per host; a hot host's pages are the large side, which Spark splits.
+    came = lambda rank, share: (F.coalesce(rank, F.lit(0.0)) - F.col(share) * (1 - damping)).alias(rank)
+    # One row per host, written, so that the join may split a hot host's pages.
+    ranks = scratch.keep(ranks.select("host", came("trust", "allowed"), came("distrust", "blocked")), "ranks")
     out = judged.join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     verdict = F.coalesce("own", F.when((F.col("host") != "") & (F.col("distrust") - F.col("trust") >= threshold), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
@@ -150,8 +154,9 @@ hosts AS (
 {walk("t", "src", "dst", "allowed")},
 {walk("d", "dst", "src", "blocked")}
 SELECT page_id, j.host, path, rule,
-       coalesce(own, CASE WHEN j.host <> '' AND coalesce(d.rank, 0) - coalesce(t.rank, 0) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN t{ROUNDS} t ON t.host = j.host LEFT JOIN d{ROUNDS} d ON d.host = j.host
+       coalesce(own, CASE WHEN j.host <> '' AND (coalesce(d.rank, 0) - blocked * {1 - DAMPING}) - (coalesce(t.rank, 0) - allowed * {1 - DAMPING}) >= {THRESHOLD}
+                          THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j JOIN hosts h ON h.host = j.host LEFT JOIN t{ROUNDS} t ON t.host = j.host LEFT JOIN d{ROUNDS} d ON d.host = j.host
 """
 
 
