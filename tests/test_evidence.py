@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,9 @@ def test_whole_analysis(spark, tree, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "tl")).count() == 6
     sinks.write_logs(result.logs, str(tmp_path / "jl"), format="json")
     assert spark.read.json(str(tmp_path / "jl")).count() == 6
+    kept = result.findings.inputFiles()
+    result.close()
+    assert kept and not any(Path(f.removeprefix("file://")).exists() for f in kept)
 
 
 def test_job_json(spark, tree):

@@ -13,7 +13,7 @@ from vigilog.operators.coverage import coverage
 from vigilog.operators.detect import detect, search_rules
 from vigilog.operators.normalize import format_of_heads, normalize
 from vigilog.operators.timeline import timeline, top_events
-from vigilog.session import configure, stored
+from vigilog.session import configure, discard_stored, stored, stored_so_far
 from vigilog.sources.evidence import read_heads, read_job_json, read_logs_by_format
 from vigilog.sources.rules import RuleSet
 from vigilog.sources.sinks import write_logs
@@ -32,6 +32,11 @@ class Analysis:
     timeline: DataFrame
     top_events: DataFrame
     correlations: dict[str, DataFrame]
+    first_stored: int = 0
+
+    def close(self) -> None:
+        """Delete the intermediate tables, once all results that are wanted have been written."""
+        discard_stored(self.logs.sparkSession, self.first_stored)
 
 
 def find_matches(
@@ -68,6 +73,7 @@ def analyse_logs(
     logs: DataFrame, rules: RuleSet, inventories: DataFrame, *, keys: tuple = JOB,
     compat: bool = False,
 ) -> Analysis:
+    before = stored_so_far()
     matches = find_matches(logs, rules, keys, compat=compat)
     found = stored(fnd.build_findings(matches, rules, keys))
     paths = rules.dataframe(logs.sparkSession).select("rule_path")
@@ -81,4 +87,5 @@ def analyse_logs(
         timeline=timeline(logs, compat=compat),
         top_events=top_events(logs, compat=compat),
         correlations=correlate(logs, keys),
+        first_stored=before,
     )

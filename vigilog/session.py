@@ -72,4 +72,20 @@ def stored(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/vigilog-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[str] = []
+
+
+def discard_stored(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``stored`` wrote, from number ``since`` on; nothing may read them then."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_STORED) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stored_so_far() -> int:
+    return len(_STORED)
