@@ -44,7 +44,7 @@ PIVOTS, SPREAD = 128, 2.0
 SKETCH = 8
 #: Distinct words that a task remembers at a time.
 MEMORY = 1 << 19
-SETS = "doc_id bigint, n bigint, digest binary, keys array<bigint>, need int, rest array<bigint>, " + ", ".join(f"k{i} bigint" for i in range(SKETCH))
+SETS = "doc_id bigint, n bigint, digest binary, keys array<bigint>, need int, rest array<bigint>, wide binary, " + ", ".join(f"k{i} bigint" for i in range(SKETCH))
 
 
 class Words(dict):
@@ -135,6 +135,40 @@ def sketch(made: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def wide_sketch(made: np.ndarray) -> bytes:
+    """The same for a power of two of classes, at least twice as many as shingles.
+
+    Halves that are combined by exclusive or make the sketch for half as many classes.
+    """
+    bits = max(8, 1 << (2 * len(made) - 1).bit_length()) if len(made) else 8
+    classes = ((made >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """No more than the number of shingles in just one of two sets, from their wide sketches."""
+    a, b = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def hopeful(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that wide sketches allow to link. They take a fraction of the texts' room."""
+    def check(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                keep.append(least_difference(x, y) * (100 + percent) <= (n + m) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    return both.mapInArrow(check, "a bigint, b bigint").distinct()
+
+
 def shingle_sets(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
     """SETS: set size, name of the set, its nearest single-shingle pivots, and its sketch.
 
@@ -155,7 +189,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sizes, digests, keys, need, rest, bits = [], [], [], [], [], []
+                sizes, digests, keys, need, rest, wide, bits = [], [], [], [], [], [], []
                 for text in batch.column(1):
                     made, rare = shingle_set(split_words(text.as_py()), k, memory)
                     n = len(made)
@@ -167,18 +201,19 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
                     rest.append(made[order[sure:]] if sure < reach else empty)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(made.tobytes()) if n else None)
+                    wide.append(wide_sketch(made))
                     bits.append(sketch(made))
                 bits = np.array(bits).reshape(-1, SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys), pa.array(need, pa.int32()), lists(rest)]
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys), pa.array(need, pa.int32()), lists(rest), pa.array(wide, pa.binary())]
                     + [pa.array(bits[:, i], pa.int64()) for i in range(SKETCH)],
-                    names=["doc_id", "n", "digest", "keys", "need", "rest"] + [f"k{i}" for i in range(SKETCH)])
+                    names=["doc_id", "n", "digest", "keys", "need", "rest", "wide"] + [f"k{i}" for i in range(SKETCH)])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(make, SETS)
 
 
-def measured(pairs: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(a, b, shared, total) of pairs (a, b): sizes of intersection and union of their sets."""
+def measured(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b, shared, total) of those pairs (a, b) that can link: sizes of intersection and union."""
     def measure(batches):
         from collections import OrderedDict
 
@@ -211,7 +246,7 @@ def measured(pairs: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> Dat
                 out.append((a.as_py(), b.as_py(), shared, len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = scratch.keep(hopeful(pairs, heads, percent), "pairs")
     # Only the texts of these pairs move.
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = scratch.keep(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi").distinct(), "texts")
@@ -268,7 +303,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
 
     # First every document against the smallest of each of its regions, which settles nearly all.
     first = regions.filter("node <> head").join(other(regions.filter("node = head")), "region").filter(fits)
-    known = measured(first.select(*pair(F.col("node"), F.col("other"))).distinct(), docs, k, scratch)
+    known = measured(first.select(*pair(F.col("node"), F.col("other"))).distinct(), heads, docs, k, percent, scratch)
     linked = lambda t: t.filter(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
     comps = components(linked(known), scratch)
     live, rounds = regions.filter("node <> head").select("region", "node", "n", *bits), 0
@@ -297,7 +332,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
                          & (p["far"] * (100 + percent) <= (p["n"] + F.col("n")) * (100 - percent)))
         spokes = met.select("node", F.explode(F.transform(close, lambda p: p["node"])).alias("other"))
         want = want.union(spokes.select(*pair(F.col("node"), F.col("other")))).distinct()
-        fresh = measured(want.join(known, ["a", "b"], "left_anti"), docs, k, scratch)
+        fresh = measured(want.join(known, ["a", "b"], "left_anti"), heads, docs, k, percent, scratch)
         links = linked(fresh)
         if not links.isEmpty():
             known = known.union(fresh)
