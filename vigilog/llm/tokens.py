@@ -11,7 +11,9 @@ block, the number of blocks, the magic again. Numbers are little-endian.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -32,7 +34,7 @@ FILE_BYTES = 32 << 20
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: White space separated pieces that a worker remembers; they are never joined by this vocabulary.
-MEMORY = 1 << 19
+MEMORY = 1 << 20
 
 
 class Table:
@@ -179,6 +181,48 @@ def unpack_file(data: bytes, shared: Table) -> list[bytes]:
 
 
 _PIECES: dict = {}
+#: Full stops and commas that end a word; the vocabulary never joins them to letters or digits.
+_ENDING = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\x20\x09-\x0D]|$)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin letters as byte-level vocabularies write them: a printable Latin-1 byte stands for itself,
+    the others for the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    name = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+
+
+_LATIN = _byte_letters()
+
+
+def pieces_of(text: str | None) -> list[bytes]:
+    """Pieces of a text that are tokenized by themselves: words in lower case, endings apart.
+
+    A text that may hold the name of a special token is only split.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return raw.split() if b"<|" in raw else _ENDING.sub(rb" \1", raw.lower()).split()
+
+
+def piece_ids(coder, pieces: list[bytes]) -> list[bytes]:
+    """The ids of each piece as 32-bit numbers.
+
+    A word of plain Latin letters needs no normalizing or splitting and goes to the vocabulary's model.
+    """
+    out: list = [None] * len(pieces)
+    rest = []
+    for i, piece in enumerate(pieces):
+        word = piece.decode("utf-8", "replace")
+        if word.isalpha() and word.islower() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word):
+            found = coder.model.tokenize(word if word.isascii() else word.translate(_LATIN))
+            out[i] = np.array([t.id for t in found], "<u4").tobytes()
+        else:
+            rest.append((i, word))
+    for (i, _), e in zip(rest, coder.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
 
 
 def id_blocks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -209,12 +253,11 @@ def id_blocks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                pieces = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in rows.column(1)]
+                pieces = [pieces_of(t.as_py()) for t in rows.column(1)]
                 if len(known) > MEMORY:
                     known.clear()
                 new = list({p for ps in pieces for p in ps if p not in known})
-                for p, e in zip(new, coder.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
+                known.update(zip(new, piece_ids(coder, new), strict=True))
                 for name, ps, where in zip(rows.column(0), pieces, rows.column(2), strict=True):
                     ids = b"".join(map(known.__getitem__, ps)) + end
                     size, part = len(ids) // 4, where.as_py()
