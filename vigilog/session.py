@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +59,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the cluster's shared checkpoint folder and read them back.
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package on whatever machine they run; once per application.
 
-    Later uses neither recompute them nor depend on the executors that did, and the planner knows
-    their size. Only a local session, where nothing is set, gets a folder of its own.
+    The package goes as a zip through the cluster's shared folder, or a local session's own.
     """
-    spark = df.sparkSession
+    context = spark.sparkContext
+    if getattr(context, "_vigilog_shipped", False):
+        return
+    package, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.writestr(f"{package.name}/{module.relative_to(package).as_posix()}", module.read_bytes())
+    path = f"{shared_folder(spark)}/vigilog-{uuid.uuid4().hex}.zip"
+    if ":" in path.split("/")[0]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(inner, compression=None) as stream:
+            stream.write(packed.getvalue())
+    else:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_bytes(packed.getvalue())
+    context.addPyFile(path)
+    context._vigilog_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -70,7 +94,17 @@ def stored(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="vigilog-checkpoint-")
         context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/vigilog-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the cluster's shared checkpoint folder and read them back.
+
+    Later uses neither recompute them nor depend on the executors that did, and the planner knows
+    their size. Only a local session, where nothing is set, gets a folder of its own.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vigilog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilog import schema
 from vigilog.operators.integrity import ROW_BYTES, hash_large_files, manifest_of
+from vigilog.session import ship_code
 
 JOB_DIR = r"/(\d{8}_\d{6}_[^/]+)/"
 JSON_FILES = {
@@ -78,6 +79,7 @@ def read_logs(
 
 def _paths(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, uri) of all files, spread over tasks; contents are not read."""
+    ship_code(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select("path", F.col("_metadata.file_path").alias("uri"))
     return files.repartition(spark.sparkContext.defaultParallelism, "path")
