@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilog.session import shared_folder, ship_code
+
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,18 +17,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. A local session without one gets its own."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="vigilog-llm-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Tables of one run, written to the shared folder, so that lost executors lose nothing.
 
@@ -35,6 +24,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)  # the operators' Python functions import this package
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import table
+from vigilog.llm.common import ship_code, table
 
 #: Words of a passage, and from one passage to the next.
 PASSAGE, STRIDE = 64, 32
@@ -209,6 +209,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits or leaked are replaced.
     """
     spark = docs.sparkSession
+    ship_code(spark)
     docs = docs.drop("passages", "hits", "leaked")
     told = []
     for part in shards(items):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import table
+from vigilog.llm.common import ship_code, table
 
 #: Labelled documents per language that training reads, each one window of SAMPLE_CHARS characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 512
@@ -182,6 +182,7 @@ def identify(docs: DataFrame, model: Network | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    ship_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
