@@ -156,7 +156,7 @@ def _like_lines(rows):
         for j in range(i):
             y, most = names[j], max(len(x), len(names[j]))
             if (sims[i] ^ sims[j]).bit_count() <= lines.BITS and min(len(x), len(y)) >= most * lines.SIMILARITY:
-                if distance(x, y) <= most * (1 - lines.SIMILARITY) + 1e-9:
+                if distance(x, y) <= min(lines.EDITS, most * (1 - lines.SIMILARITY) + 1e-9):
                     links.append((i, j))
     label = brute.smallest_reachable(range(len(names)), links)
     groups = {}
