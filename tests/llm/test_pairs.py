@@ -156,7 +156,7 @@ def _like_lines(rows):
         for j in range(i):
             y, most = names[j], max(len(x), len(names[j]))
             if (sims[i] ^ sims[j]).bit_count() <= lines.BITS and min(len(x), len(y)) >= most * lines.SIMILARITY:
-                if distance(x, y) <= min(lines.EDITS, most * (1 - lines.SIMILARITY) + 1e-9):
+                if distance(x, y) <= most * (1 - lines.SIMILARITY) + 1e-9:
                     links.append((i, j))
     label = brute.smallest_reachable(range(len(names)), links)
     groups = {}
@@ -196,6 +196,7 @@ def test_lines_odd_rows(odd_docs):
     got = got.collect()
     assert len(got) == len(rows)
     by_text = {r.doc_id: r for r in got}
+    assert by_text[8].removed == [0] and by_text[7].removed == []
     assert by_text[1].text is None and by_text[1].n_lines == 0 and by_text[2].n_lines == 1
     assert by_text[20].removed == [2] and by_text[20].text == "a line of five words\n\ntail"
     assert [r.removed for r in got if r.doc_id == 6] == [[0], [0]] and by_text[5].removed == []
