@@ -97,10 +97,11 @@ def shingle_set(words: list[bytes], k: int, memory: Words) -> tuple[np.ndarray,
     return made, rare[first]
 
 
-def word_counts(docs: DataFrame, limit: int = COMMON_WORDS) -> dict[int, int]:
-    """Hash -> occurrences of the ``limit`` most frequent words of all texts.
+def word_counts(docs: DataFrame, scratch: Scratch, limit: int = COMMON_WORDS) -> dict[int, int]:
+    """Hash -> occurrences of the most frequent words of all texts, at most ``limit`` of them.
 
-    At most ``limit`` rows reach the driver; every occurrence is counted.
+    Every occurrence is counted. Words are told apart by levels of their counts, quarters of a power
+    of two; only those of the highest levels that fit reach the driver.
     """
     def count(batches):
         from collections import Counter
@@ -123,8 +124,16 @@ def word_counts(docs: DataFrame, limit: int = COMMON_WORDS) -> dict[int, int]:
                     seen.clear()
         yield flush(seen)
 
-    top = docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = top.orderBy(F.desc("n"), "word").limit(limit).collect()
+    words = docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = scratch.keep(words.withColumn("level", F.floor(F.log2("n") * 4).cast("int")), "words")
+    room, lowest = limit, 1 << 30
+    for row in sorted(words.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
+        room -= row.words
+        if room < 0:
+            break
+        lowest = row.level
+    rows = words.filter(F.col("level") >= lowest).collect()
+    scratch.drop(words)
     return {r.word & (2**64 - 1): r.n for r in rows}
 
 
@@ -276,7 +285,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    common = spark.sparkContext.broadcast(word_counts(docs))
+    common = spark.sparkContext.broadcast(word_counts(docs, scratch))
     sets = scratch.keep(shingle_sets(docs, k, percent, common), "sets")
     classes = scratch.keep(
         sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
