@@ -115,6 +115,20 @@ def test_weak_parts_need_each_other(spark):
     assert got == {0: ["id", "key"], 1: [], 2: [], 3: [], 4: ["endpoint", "key"], 5: [], 6: ["access", "key"], 9: ["id", "key"]}
 
 
+def test_links_do_not_depend_on_length_or_place(spark, tmp_path):
+    """Long weak parts before their complement, at every alignment, against the SQL."""
+    key = "aB3" * 8
+    texts = ["see db://" + "h" * 305 + " ..... password=hunter22"]
+    for lead in range(0, 250, 7):
+        texts += ["." * lead + " " + part + " " * gap + other for part in (key, key * 12, "db://" + "h" * 300, "user=" + "n" * 260)
+                  for gap, other in ((110, " db://x" if part[0] == "a" else " password=hunter22"), (118, " user=anna" if part[0] == "a" else " password=hunter22"), (130, " token=abcdefgh"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(secrets.query(spark, str(tmp_path)), con, secrets.SQL) == ""
+
+
 def test_secrets_odd_rows(odd_docs):
     got = secrets.scan(odd_docs(ODD)).collect()
     assert len(got) == len(ODD) and all(r.n_assign == 0 for r in got)

@@ -99,13 +99,15 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     texts = texts.select("digest", "base", "weak").dropDuplicates(["digest"])
     parts = texts.select("digest", F.inline(F.concat("base", "weak"))).distinct()
     parts = parts.withColumn("strong", F.col("kind") < len(BASE))
-    weak, block = parts.filter("NOT strong"), F.expr(f"start div {scope + 1}")
     # Interval join: a scope's worth of characters is a block; a part stands in each block that it or
-    # its surroundings touch, and meets the weak parts that begin there.
+    # its surroundings touch, and meets the weak parts that begin or end there. One that follows is
+    # compared by the weak part's end, which may be many blocks from its start.
+    ends = F.array_distinct(F.array(F.expr(f"start div {scope + 1}"), F.expr(f"end div {scope + 1}")))
+    weak = parts.filter("NOT strong").withColumn("block", F.explode(ends))
     cells = F.sequence(F.expr(f"greatest(0, start - {scope}) div {scope + 1}"), F.expr(f"(end + {scope}) div {scope + 1}"))
     others = parts.select("digest", F.col("kind").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"),
                           F.explode(cells).alias("block"))
-    both = weak.withColumn("block", block).join(others, ["digest", "block"])
+    both = weak.join(others, ["digest", "block"])
     inside = (F.col("k2") < len(BASE)) & (F.col("s2") <= F.col("start")) & (F.col("end") <= F.col("e2"))
     fits = F.lit(False)
     for kind, partners in COMPLEMENTS.items():
