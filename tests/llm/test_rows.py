@@ -254,6 +254,20 @@ def test_held_out_accuracy(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_every_label_is_trained(monkeypatch):
+    """More labels than a batch has lanes: each gets windows, and as many as with few labels."""
+    labels = [f"l{i:03}" for i in range(2 * language.BATCH + 9)]
+    seen = np.zeros(len(labels), int)
+
+    def gradients(self, codes, want, weight):
+        np.add.at(seen, want, 1)
+        return 0.0, {k: np.zeros_like(v) for k, v in self.weights.items()}
+
+    monkeypatch.setattr(language.Network, "gradients", gradients)
+    language.train([f"text of {x}" for x in labels], labels, steps=20)
+    assert seen.min() >= 20 and seen.max() - seen.min() <= 1
+
+
 def test_language_odd_rows(odd_docs):
     model = language.train(["the house and the sea", "das haus und das meer"], ["en", "de"], steps=2)
     got = language.identify(odd_docs(ODD), model)

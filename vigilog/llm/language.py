@@ -106,7 +106,11 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network | None:
-    """Fit a network on windows of the texts; None without any. Reruns agree."""
+    """Fit a network on windows of the texts; None without any. Reruns agree.
+
+    Labels take turns in the lanes of the batches. ``steps`` suffices for up to ``BATCH`` labels; more
+    labels get more steps in proportion.
+    """
     labels = sorted(set(langs))
     if not labels:
         return None
@@ -117,8 +121,9 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
     if len(labels) == 1 or not all(by_label):
         return model
     first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+    steps = -(-steps * max(BATCH, len(labels)) // BATCH)
     for step in range(1, steps + 1):
-        codes, want = np.full((WIDTH, BATCH), 32, np.uint8), np.arange(BATCH) % len(labels)
+        codes, want = np.full((WIDTH, BATCH), 32, np.uint8), (np.arange(BATCH) + (step - 1) * BATCH) % len(labels)
         for lane in range(BATCH):
             x = raw[rng.choice(by_label[want[lane]])]
             at = rng.integers(0, max(1, len(x) - WIDTH + 1))
