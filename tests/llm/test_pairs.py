@@ -202,3 +202,46 @@ def test_lines_odd_rows(odd_docs):
     assert [r.removed for r in got if r.doc_id == 6] == [[0], [0]] and by_text[5].removed == []
     assert sorted(str(r.removed) for r in got if r.doc_id is None) == ["[0]", "[0]", "[]"]
     assert lines.dedup(odd_docs([])).collect() == []
+
+
+def _edited(rng, line, share):
+    """A line with a share of its characters replaced, dropped or preceded by another."""
+    out = list(line)
+    for i in rng.sample(range(len(out)), round(share * len(out))):
+        new = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        out[i] = rng.choice([new, "", new + out[i]])
+    return "".join(out)
+
+
+def test_lines_recall_against_edit_similarity(spark):
+    """Ordinary lines, any similarity from 0.8 up alike: at least 0.9 of the pairs, and no other."""
+    import duckdb
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = []
+    for _ in range(300):
+        line = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 20)))
+        texts += [line, _edited(rng, line, rng.uniform(0.01, 0.22))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l (id INT, t VARCHAR)")
+    con.executemany("INSERT INTO l VALUES (?, ?)", [(i, " ".join(t.split())) for i, t in enumerate(texts)])
+    pairs = con.execute("""SELECT x.id, y.id FROM l x JOIN l y ON x.id < y.id
+        WHERE levenshtein(x.t, y.t) <= 0.2 * greatest(length(x.t), length(y.t)) + 1e-9""").fetchall()
+    got = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    gone = {r.doc_id for r in got if r.removed}
+    assert len(pairs) > 200 and gone <= {y for _, y in pairs}
+    recall = sum(y in gone for _, y in pairs) / len(pairs)
+    print("recall", round(recall, 3), "of", len(pairs))
+    assert recall >= 0.9
+
+
+def test_short_and_long_lines_take_part(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(500)]
+    long, short = list(words), ["All rights reserved", "\u6f22\u5b57\u6f22\u5b57\u6f22", "Menu", "Privacy policies"]
+    for i in range(0, 500, 25):
+        long[i] += "z"
+    rows = [(1, "\n".join([*short, " ".join(words)])), (2, "\n".join(["all rights reserved!", short[1], "", "MENU", "privacy policy is", " ".join(long)]))]
+    got = {r.doc_id: r.removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: [], 2: [0, 1, 3, 4, 5]}
