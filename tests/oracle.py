@@ -37,6 +37,9 @@ def compare(spark_df, con, sql: str) -> str:
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     columns = sorted(got.columns)
+    for column in columns:  # pandas gets Spark's integers with NULLs as floats
+        if str(want[column].dtype) == "Int64" and got[column].dtype == "float64":
+            got[column] = got[column].astype("Int64")
     rows = lambda pdf: sorted(map(repr, (tuple(map(_cell, r)) for r in pdf[columns].astype(object).values.tolist())))
     a, b = rows(got), rows(want)
     if a != b:
