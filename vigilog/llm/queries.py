@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from vigilog.llm import decontaminate, jaccard, language, lines, mixing, secrets, tokens, urls, vectors, warc
+from vigilog.llm import (
+    audit,
+    chat,
+    decontaminate,
+    infill,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    secrets,
+    tokens,
+    urls,
+    vectors,
+    warc,
+)
 
 _MODULES = {
     "op1_jaccard_join": jaccard,
@@ -15,6 +29,9 @@ _MODULES = {
     "op8_decontaminate": decontaminate,
     "op9_secrets": secrets,
     "op10_warc": warc,
+    "op11_filter_audit": audit,
+    "op12_fill_middle": infill,
+    "op13_chat_format": chat,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLES = {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)}
