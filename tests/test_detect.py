@@ -9,6 +9,7 @@ from vigilog import RuleSet, load_rules
 from vigilog.operators import detect as det
 from vigilog.operators import findings as fnd
 from vigilog.plans.analysis import find_matches
+from vigilog.session import stored
 
 
 def rule(kind="pattern", patterns=(), service="*", **more):
@@ -200,7 +201,7 @@ def test_sequence_equals_nested_loop(make_logs, window):
     ] + [(None, "one", "a"), (None, "two", "a")]
     logs = make_logs([(t, "s", f"{text} id={k}") for t, text, k in rows])
     rs = rules(s=rule("sequence", [r"one.*id=(?P<src_ip>\w)", r"two.*id=(?P<src_ip>\w)"], detection={"within_seconds": window}))
-    hits = det.search_rules(logs, rs)
+    hits = stored(det.search_rules(logs, rs))
     for key in (None, "src_ip"):
         first, second = Counter(), Counter()
         for i, (t1, a, k1) in enumerate(rows):
@@ -216,6 +217,48 @@ def test_sequence_equals_nested_loop(make_logs, window):
         assert sum(r.pairs for r in pairs) == sum(first.values())
 
 
+@pytest.mark.parametrize("steps,window,key", [(3, 0, None), (3, 9, "src_ip"), (4, 15, None), (5, 100000, "src_ip")])
+def test_longer_sequences_equal_a_loop_over_hits(make_logs, steps, window, key):
+    rng = random.Random(steps * window)
+    names = ["one", "two", "three", "four", "five"][:steps]
+    rows = [
+        (round(rng.choice([rng.uniform(-20, 150), float(rng.randint(0, 30))]), 6),
+         " ".join(rng.sample(names, rng.choice([0, 1, 1, 1, 2]))) or "x", rng.choice("ab"))
+        for _ in range(150)
+    ] + [(None, "one", "a"), (None, "two", "a")]
+    logs = make_logs([(t, "s", f"{text} id={k}") for t, text, k in rows])
+    rs = rules(
+        s=rule("sequence", [rf"{n}.*id=(?P<src_ip>\w)" for n in names], detection={"within_seconds": window}),
+        two=rule("sequence", [rf"{n}.*id=(?P<src_ip>\w)" for n in names[:2]], detection={"within_seconds": window}),
+    )
+    hits = stored(det.search_rules(logs, rs))
+    follows = lambda a, b: 0 <= round((b[0] - a[0]) * 1e6) <= window * 1e6 and (key is None or a[2] == b[2])
+    at = [[(i + 1, r) for i, r in enumerate(rows) if n in r[1].split() and r[0] is not None] for n in names]
+    ways = [{i: 1 for i, _ in at[0]}]
+    for s in range(1, steps):
+        ways.append({i: sum(ways[-1][j] for j, q in at[s - 1] if follows(q, r)) for i, r in at[s]})
+    rest = {i: 1 for i, _ in at[-1]}
+    want = {(i, steps - 1): ways[-1][i] for i in rest}
+    for s in range(steps - 2, -1, -1):
+        rest = {i: sum(rest[j] for j, q in at[s + 1] if follows(r, q)) for i, r in at[s]}
+        want |= {(i, s): ways[s][i] * rest[i] for i in rest}
+    want = {k: v for k, v in want.items() if v}
+    got = det.detect_sequence(hits, rs, key=key).collect()
+    assert {(r.line_no, r.pattern_idx): r.weight for r in got if r.rule_path == "s"} == want
+    pairs = {r.rule_path: r.pairs for r in det.sequence_pairs(hits, rs, key=key).collect()}
+    assert pairs.get("s", 0) * steps == sum(want.values())
+    assert pairs.get("two", 0) * 2 == sum(r.weight for r in got if r.rule_path == "two")
+
+
+def test_numbers_of_sequences_saturate(make_logs):
+    """200 hits of each of ten steps at one time are 200 ** 10 sequences."""
+    rs = rules(s=rule("sequence", ["a"] * 10, detection={"within_seconds": 5}))
+    logs = make_logs([(5, "s", "a")] * 200)
+    matches = find_matches(logs, rs)
+    assert {r.weight for r in matches.collect()} == {2**63 - 1}
+    assert fnd.build_findings(matches, rs).first().match_count == 2**63 - 1
+
+
 # --------------------------------------------------------------------------- findings
 
 
@@ -279,6 +322,12 @@ def test_sequences_that_cannot_be_evaluated_are_reported():
         return {"id": "X", "detection": {"type": "sequence", "steps": [{"regex": s} for s in steps]}}
 
     rs = RuleSet.from_dicts({"bad.yaml": sequence("a", "(", "b"), "three.yaml": sequence("a", "b", "c"), "two.yaml": sequence("a", "b")})
-    assert [r.path for r in rs.active()] == ["two.yaml"]
-    assert {e[0] for e in rs.errors} == {"bad.yaml", "three.yaml"}
-    assert len(RuleSet.from_dicts({"three.yaml": sequence("a", "b", "c")}, compat=True).active()) == 1
+    assert [r.path for r in rs.active()] == ["three.yaml", "two.yaml"]
+    assert {e[0] for e in rs.errors} == {"bad.yaml"}
+
+
+def test_compat_evaluates_two_steps(make_logs):
+    rs = rules(s=rule("sequence", ["a", "b", "c"], detection={"within_seconds": 5}))
+    logs = make_logs([(1, "s", "a"), (2, "s", "b"), (30, "s", "c")])
+    assert find_matches(logs, rs).count() == 0
+    assert sorted(r.line_no for r in find_matches(logs, rs, compat=True).collect()) == [1, 2]

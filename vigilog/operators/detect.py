@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vigilog.functions import lookups as L
 from vigilog.functions import regex as R
 from vigilog.functions.regex import sql_string
+from vigilog.session import stored
 from vigilog.sources.rules import Rule, RuleSet
 
 MICROS = 1_000_000
@@ -79,7 +80,7 @@ def search_rules(
     whole = match_on == "raw"
     shared = {}
     if use_prefilter:
-        shared = R.shared_clauses(p for rule in active for p in (*rule.patterns, *rule.steps[:2]))
+        shared = R.shared_clauses(p for rule in active for p in (*rule.patterns, *rule.used_steps(compat)))
         tests = [F.expr(R.contains_any("_low", c)).alias(name) for c, name in shared.items()]
         prepared = prepared.select("*", *tests)
     hits = [hit for rule in active for hit in _hits_sql(rule, compat, use_prefilter, shared, whole)]
@@ -123,7 +124,7 @@ def _hits_sql(rule: Rule, compat: bool, use_prefilter: bool, shared: dict, whole
         return found, (rule.path, rule.id, rule.type, i, captured)
 
     if rule.type == "sequence":
-        steps = [branch(i, p) for i, p in enumerate(rule.steps[:2])]
+        steps = [branch(i, p) for i, p in enumerate(rule.used_steps(compat))]
         return [_hit_struct(*values, f"{scoped} AND {found}") for found, values in steps]
     whens = " ".join(
         f"WHEN {found} THEN {_struct(*values)}"
@@ -242,17 +243,27 @@ def detect_threshold(
 # --------------------------------------------------------------------------- sequence (D6)
 
 
-def sequence_counts(
+def sequence_weights(
     hits: DataFrame, rules: RuleSet, keys: tuple = ("job_id",), *, key: str | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """Partners of each distinct time: ``followers`` (step 2 within W after) and ``leaders``.
+    """Each distinct time and step of a rule: ``hits`` there, and how many ``sequences`` each is part of.
 
-    The pairs themselves are never built. Hits are first counted per distinct time. In buckets of
-    length W the partners of time t are a running count at t in its own bucket and one at t +- W in
-    the neighbour; buckets are split into cells, so a crowded moment spreads over many tasks.
+    A sequence is one hit per step, each at most W after the one before and not earlier. Sequences
+    are never built. Hits are first counted per distinct time; then each pass adds, for every time, what
+    lies in the window before it and in the one after it. Two steps take one pass, k steps k - 1: the
+    number of beginnings that end at a time feeds the next step, and completions go the other way.
+    Numbers beyond 2^63 - 1 are given as that. Columns: keys, rule_path, _k, _us, step, hits, sequences.
     """
-    return _partners(_steps(hits, rules, key, compat), [*keys, "rule_path", "_k"])
+    steps = _steps(hits, rules, key, compat)
+    lengths = {r.path: len(r.used_steps(compat)) for r in rules.active("sequence")}
+    longer = {path: n for path, n in lengths.items() if n > 2}
+    group = [*keys, "rule_path", "_k"]
+    if not longer:
+        return _of_two(steps, group)
+    long = F.col("rule_path").isin(list(longer))
+    out = _of_many(steps.filter(long), group, longer)
+    return out if len(longer) == len(lengths) else _of_two(steps.filter(~long), group).unionByName(out)
 
 
 def _steps(hits: DataFrame, rules: RuleSet, key: str | None, compat: bool) -> DataFrame:
@@ -275,26 +286,89 @@ def _steps(hits: DataFrame, rules: RuleSet, key: str | None, compat: bool) -> Da
     )
 
 
-def _partners(steps: DataFrame, group: list) -> DataFrame:
+def _of_two(steps: DataFrame, group: list) -> DataFrame:
     times = steps.groupBy(*group, "_w", "_us").agg(
         F.count_if(F.col("pattern_idx") == 0).alias("_n1"),
         F.count_if(F.col("pattern_idx") == 1).alias("_n2"),
     )
+    found = _neighbours(times.select("*", (F.col("_n1") > 0).alias("_next"), (F.col("_n2") > 0).alias("_back")), group)
+    both = F.array(
+        F.struct(F.lit(0).alias("step"), F.col("_n1").alias("hits"), F.col("_after").alias("sequences")),
+        F.struct(F.lit(1).alias("step"), F.col("_n2").alias("hits"), F.col("_before").alias("sequences")),
+    )
+    return found.select(*group, "_us", F.inline(both)).filter((F.col("hits") > 0) & (F.col("sequences") > 0))
+
+
+def _of_many(steps: DataFrame, group: list, lengths: dict[str, int]) -> DataFrame:
+    """Passes over all longer rules at once; each pass is a written table, so no plan doubles.
+
+    ``_f[i]`` is the number of beginnings that end with one hit of step i at this time, ``_b[i]`` that
+    of completions which start with it. Pass j finds ``_f[j]``, and ``_b`` of the j-th step from the end.
+    """
+    whole = "decimal(38,0)"
+    most = F.lit(2**63 - 1).cast(whole)  # the product of two still fits
+    size, zero, one = max(lengths.values()), F.lit(0).cast(whole), F.lit(1).cast(whole)
+    length = F.create_map(*[F.lit(x) for item in sorted(lengths.items()) for x in item])[F.col("rule_path")]
+    times = steps.groupBy(*group, "_w", "_us").agg(
+        F.array(*[F.count_if(F.col("pattern_idx") == i).cast(whole) for i in range(size)]).alias("_n")
+    )
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    times = times.select(
+        "*", length.alias("_size"),
+        F.transform(places, lambda i: F.when(i == 0, one).otherwise(zero)).alias("_f"),
+        F.transform(places, lambda i: F.when(i == length - 1, one).otherwise(zero)).alias("_b"),
+    )
+
+    def product(numbers, i):
+        return F.least(F.col("_n")[i] * F.col(numbers)[i], most).cast(whole)
+
+    for j in range(1, size):
+        step, back = F.lit(j), F.col("_size") - 1 - j
+        times = times.select(
+            "*", back.alias("_at"),
+            F.when(step < F.col("_size"), product("_f", step - 1)).otherwise(zero).alias("_n1"),
+            F.when(back >= 0, product("_b", F.greatest(back + 1, F.lit(0)))).otherwise(zero).alias("_n2"),
+            ((back >= 0) & (F.get("_n", back) > 0)).alias("_next"), ((step < F.col("_size")) & (F.get("_n", step) > 0)).alias("_back"),
+        )
+        found = _neighbours(times, group, ("_w", "_size", "_n", "_f", "_b", "_at", "_next", "_back"))
+        put = lambda old, here, at, new: F.when(
+            F.col(here), F.transform(F.col(old), lambda x, i: F.when(i == at, F.least(F.col(new), most).cast(whole)).otherwise(x))
+        ).otherwise(F.col(old))
+        times = stored(found.select(
+            *group, "_us", "_w", "_size", "_n",
+            put("_f", "_back", step, "_before").alias("_f"), put("_b", "_next", F.col("_at"), "_after").alias("_b"),
+        ))
+    each = F.transform(places, lambda i: F.struct(
+        i.alias("step"), F.col("_n")[i].cast("bigint").alias("hits"),
+        F.least(F.col("_f")[i] * F.col("_b")[i], most).cast("bigint").alias("sequences"),
+    ))
+    return times.select(*group, "_us", F.inline(each)).filter((F.col("hits") > 0) & (F.col("sequences") > 0))
+
+
+def _neighbours(times: DataFrame, group: list, carried: tuple = ()) -> DataFrame:
+    """Each time with the sum of ``_n1`` over the window before it and of ``_n2`` over that after it.
+
+    ``times`` has one row per group and ``_us``, with the window ``_w`` and whether a time wants
+    what comes next (``_next``) or came before (``_back``). In buckets of length W the sum is a running
+    one at t in its own bucket and one at t -+ W in the neighbour; buckets are split into cells, so
+    a crowded moment spreads over many tasks. Gives group, _us, _n1, _n2, _before, _after, carried.
+    """
     # Each time looks at itself and at the two ends of its window.
     kinds = "array(named_struct('kind', 'own', 'at', _us)"
-    kinds += ", CASE WHEN _w > 0 AND _n1 > 0 THEN named_struct('kind', 'end', 'at', _us + _w) END"
-    kinds += ", CASE WHEN _w > 0 AND _n2 > 0 THEN named_struct('kind', 'start', 'at', _us - _w) END)"
+    kinds += ", CASE WHEN _w > 0 AND _next THEN named_struct('kind', 'end', 'at', _us + _w) END"
+    kinds += ", CASE WHEN _w > 0 AND _back THEN named_struct('kind', 'start', 'at', _us - _w) END)"
     own = F.col("_kind") == "own"
     points = (
-        times.select("*", F.explode(F.expr(f"array_compact({kinds})")).alias("_p"))
+        times.select("*", F.struct(*carried).alias("_carried") if carried else F.lit(None).alias("_carried"),
+                     F.explode(F.expr(f"array_compact({kinds})")).alias("_p"))
         .select(
-            *group, "_w", "_us", "_n1", "_n2",
+            *group, "_w", "_us", "_n1", "_n2", "_carried",
             F.col("_p.kind").alias("_kind"), F.col("_p.at").alias("_at"),
         )
         .select(
             *group, "_us", "_kind", "_at",
-            F.when(own, F.col("_n1")).otherwise(0).alias("_n1"),
-            F.when(own, F.col("_n2")).otherwise(0).alias("_n2"),
+            *[F.when(own, F.col(n)).otherwise(0).cast(times.schema[n].dataType).alias(n) for n in ("_n1", "_n2")],
+            *([F.when(own, F.col("_carried")).alias("_carried")] if carried else []),
             F.expr("CASE WHEN _w = 0 THEN _at ELSE (_at - pmod(_at, _w)) div _w END").alias("_bucket"),
             F.expr(
                 f"CASE WHEN _w = 0 THEN 0 ELSE CAST(floor(pmod(_at, _w) / (_w / {CELLS}.0D)) AS int) END"
@@ -335,23 +409,29 @@ def _partners(steps: DataFrame, group: list) -> DataFrame:
     sum2 = F.col("_prev2") + F.col("_upto2")
     followers = F.when(F.col("_kind") == "own", rest2).when(F.col("_kind") == "end", sum2)
     leaders = F.when(F.col("_kind") == "own", sum1).when(F.col("_kind") == "start", rest1)
-    return placed.groupBy(*group, "_us").agg(
-        F.sum("_n1").alias("step1_hits"),
-        F.sum("_n2").alias("step2_hits"),
-        F.sum(followers).alias("followers"),
-        F.sum(leaders).alias("leaders"),
+    out = placed.groupBy(*group, "_us").agg(
+        F.sum("_n1").alias("_n1"),
+        F.sum("_n2").alias("_n2"),
+        F.sum(leaders).alias("_before"),
+        F.sum(followers).alias("_after"),
+        *([F.first("_carried", ignorenulls=True).alias("_carried")] if carried else []),
     )
+    return out.select(*group, "_us", "_n1", "_n2", "_before", "_after", *(["_carried.*"] if carried else []))
 
 
 def sequence_pairs(
     hits: DataFrame, rules: RuleSet, keys: tuple = ("job_id",), *, key: str | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """Number of (step 1, step 2) pairs per rule; 2 x pairs is the finding's match count."""
-    counts = sequence_counts(hits, rules, keys, key=key, compat=compat)
+    """Number of sequences per rule, under the name ``pairs``: (step 1, step 2) pairs if it has two steps.
+
+    The number of steps times that is the finding's match count.
+    """
+    weights = sequence_weights(hits, rules, keys, key=key, compat=compat)
+    total = F.try_sum(F.col("hits").cast("decimal(38,0)") * F.col("sequences"))
     return (
-        counts.groupBy(*keys, "rule_path")
-        .agg(F.sum(F.col("step1_hits") * F.col("followers")).alias("pairs"))
+        weights.filter("step = 0").groupBy(*keys, "rule_path")
+        .agg(F.least(total, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint").alias("pairs"))
         .filter(F.col("pairs") > 0)
     )
 
@@ -360,20 +440,18 @@ def detect_sequence(
     hits: DataFrame, rules: RuleSet, keys: tuple = ("job_id",), *, key: str | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """Hits that take part in a pair; ``weight`` is in how many.
+    """Hits that take part in a sequence; ``weight`` is in how many.
 
-    Without ``key`` any step 1 pairs with any step 2 of the same rule; with it (say 'src_ip') both
-    must have captured the same value.
+    Without ``key`` any step 1 goes with any step 2 of the same rule, and so on; with it (say
+    'src_ip') all must have captured the same value.
     """
     group = [*keys, "rule_path", "_k"]
     steps = _steps(hits, rules, key, compat)
-    partners = _partners(steps, group).filter((F.col("followers") > 0) | (F.col("leaders") > 0))
-    weight = F.when(F.col("pattern_idx") == 0, F.col("followers")).otherwise(F.col("leaders"))
+    weights = sequence_weights(hits, rules, keys, key=key, compat=compat)
     return (
         steps.drop("weight")
-        .join(partners, [*group, "_us"])
-        .withColumn("weight", weight)
-        .filter(F.col("weight") > 0)
+        .join(weights.select(*group, "_us", F.col("step").alias("pattern_idx"), F.col("sequences").alias("weight")),
+              [*group, "_us", "pattern_idx"])
         .select(*hits.columns)
     )
 

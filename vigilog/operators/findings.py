@@ -32,11 +32,16 @@ def severity_rank(severity: Column) -> Column:
     return F.coalesce(lookup(L.SEVERITY_RANKS, severity), F.lit(99))
 
 
+def _total(weights: str) -> Column:
+    """Sum of weights; what exceeds a long is given as the largest one."""
+    return F.coalesce(F.try_sum(weights), F.lit(2**63 - 1))
+
+
 def match_counts(matches: DataFrame, keys: tuple = JOB) -> DataFrame:
     """(keys, rule_path, match_count, first_seen, last_seen); undated matches have no say in times."""
     dated = F.when(F.col("ts").isNotNull(), F.struct("ts", "source_file", "line_no"))
     return matches.groupBy(*keys, "rule_path").agg(
-        F.sum("weight").alias("match_count"),
+        _total("weight").alias("match_count"),
         F.min_by("timestamp", dated).alias("first_seen"),
         F.max_by("timestamp", dated).alias("last_seen"),
     )
@@ -60,7 +65,7 @@ def affected_entities(
         *keys, "rule_path", "weight", "ts", "source_file", "line_no", F.inline(fields)
     ).filter((F.col("value") != "") & (F.col("value") != "-"))
     counted = exploded.groupBy(*keys, "rule_path", "field", "value").agg(
-        F.sum("weight").alias("count"), F.min(_order()).alias("_first")
+        _total("weight").alias("count"), F.min(_order()).alias("_first")
     )
     by_field = Window.partitionBy(*keys, "rule_path", "field").orderBy(F.desc("count"), "_first")
     return (

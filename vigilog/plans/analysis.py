@@ -47,7 +47,7 @@ def find_matches(
     hits = stored(search_rules(logs, rules, compat=compat))
     # No more pairs than patterns. Stages for kinds of rules without any hit are then not planned.
     pairs = hits.select("rule_path", "pattern_idx").distinct().collect()
-    left = rules.with_hits({(row.rule_path, row.pattern_idx) for row in pairs})
+    left = rules.with_hits({(row.rule_path, row.pattern_idx) for row in pairs}, compat)
     matches = detect(hits, left, keys, sequence_key=sequence_key, compat=compat)
     return stored(matches) if left.active("threshold", "sequence") else matches
 

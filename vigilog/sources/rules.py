@@ -40,6 +40,10 @@ class Rule:
     within_seconds: float
     meta: dict
 
+    def used_steps(self, compat: bool) -> tuple[Pattern, ...]:
+        """The steps that are evaluated; ``compat`` looks at the first two only."""
+        return self.steps[:2] if compat else self.steps
+
     def row(self) -> tuple:
         text = lambda key, default="": str(self.meta.get(key, default) or default)
         many = lambda key: [str(v) for v in self.meta.get(key) or []]
@@ -114,8 +118,6 @@ class RuleSet:
             self.errors.append((path, None, "threshold count below 1"))
         elif rule.type == "sequence" and not self.compat and len(rule.steps) < len(steps):
             self.errors.append((path, None, "a sequence with a step that is empty or does not compile"))
-        elif rule.type == "sequence" and not self.compat and len(rule.steps) > 2:
-            self.errors.append((path, None, "a sequence of more than two steps is not evaluated"))
         else:
             self.rules.append(rule)
 
@@ -140,11 +142,11 @@ class RuleSet:
             and (len(r.steps) >= 2 if r.type == "sequence" else r.patterns)
         ]
 
-    def with_hits(self, hit: set) -> RuleSet:
+    def with_hits(self, hit: set, compat: bool = False) -> RuleSet:
         """The rules that can still match, given the (path, pattern index) pairs that were found."""
         def possible(rule: Rule) -> bool:
             if rule.type == "sequence":
-                return {(rule.path, 0), (rule.path, 1)} <= hit
+                return {(rule.path, i) for i in range(len(rule.used_steps(compat)))} <= hit
             return any((rule.path, i) in hit for i in range(len(rule.patterns)))
 
         return RuleSet([r for r in self.rules if possible(r)], self.errors, self.compat)
