@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import random
 from datetime import datetime
 from pathlib import Path
 
@@ -15,7 +16,8 @@ from vigilog.operators import integrity, summary
 from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
 from vigilog.plans.analysis import analyse
-from vigilog.sources import evidence, sinks
+from vigilog.session import stored
+from vigilog.sources import evidence, files, sinks
 from vigilog.streaming.ingest import ingest_new
 
 JOB = "20260413_080000_web_1"
@@ -199,24 +201,122 @@ def test_acquisition(spark):
     assert [tuple(r) for r in summary.acquisition_errors(df).collect()] == [("j", 2, 2)]
 
 
-def test_broken_files_do_not_end_the_job(spark, tmp_path):
-    import gzip
+LINE = "Apr 13 08:01:00 web cron[1]: job {}\n"
 
-    logs = tmp_path / "20260413_080000_web" / "01_evidence" / "raw" / "logs"
+
+def _split(path, start, stop):
+    return list(files._split_lines(f"file://{path}", start, stop))
+
+
+def _texts(parts):
+    return [v for _, values, error, _ in parts for v in values if error is None]
+
+
+def test_ranges_share_out_every_line(tmp_path):
+    random.seed(7)
+    path = tmp_path / "x.log"
+    for ends in (["\n"], ["\n", "\r\n", "\r"], ["\n", ""]):
+        text = "".join(random.choice(["", "a", "bé", "ccc" * 9]) + random.choice(ends) for _ in range(60))
+        path.write_bytes(text.encode() + b"\xff tail")
+        raw = path.read_bytes()
+        want = [line.decode("utf-8", "replace") for line in raw.splitlines()]
+        assert _texts(_split(path, 0, len(raw))) == want
+        for span in (1, 2, 3, 7, 50):
+            parts = [p for s in range(0, len(raw), span) for p in _split(path, s, min(s + span, len(raw)))]
+            assert _texts(parts) == want
+            numbers = [n + i for n, values, _, _ in parts for i in range(len(values))]
+            assert numbers == sorted(set(numbers)) or "\r" in ends[1:]
+
+
+def test_gzip_is_read_to_the_bad_byte(tmp_path):
+    lines = [f"line {i * 7919}" for i in range(5000)]
+    one, two = (gzip.compress("".join(f"{x}\n" for x in part).encode()) for part in (lines[:3000], lines[3000:]))
+    path = tmp_path / "x.gz"
+
+    def read(data):
+        path.write_bytes(data)
+        parts = _split(path, 0, len(data))
+        return _texts(parts), [(error, size) for _, _, error, size in parts if error is not None]
+
+    assert read(one + two) == (lines, []) and read(one + two + b"\0" * 512) == (lines, []) and read(b"") == ([], [])
+    got, errors = read(one + two[:len(two) // 2])
+    plain = "\n".join(lines)
+    assert len(got) > 3500 and plain.startswith("\n".join(got)) and errors == [("the file ends within a gzip member", len("\n".join(got)))]
+    got, errors = read(one + b"not gzip")
+    assert got == lines[:3000] and len(errors) == 1
+    bad = bytearray(one + two)
+    bad[-5] ^= 255  # a wrong checksum: all lines are there, and the error is told
+    got, errors = read(bytes(bad))
+    assert got == lines and len(errors) == 1 and errors[0][1] == len(plain) + 1
+    assert read(b"no gzip at all")[0] == []
+    path.unlink()
+    assert _split(path, 0, 5)[0][1] == [None]
+
+
+@pytest.fixture()
+def broken_tree(tmp_path):
+    logs = tmp_path / "jobs" / "20260413_080000_web" / "01_evidence" / "raw" / "logs"
     logs.mkdir(parents=True)
-    line = "Apr 13 08:01:00 web cron[1]: job {}\n"
-    (logs / "good.log").write_text("".join(line.format(i) for i in range(10)))
-    whole = gzip.compress("".join(line.format(i * 7919) for i in range(20000)).encode())
+    (logs / "good.log").write_text("".join(LINE.format(i) for i in range(10)))
+    whole = gzip.compress("".join(LINE.format(i * 7919) for i in range(20000)).encode())
     (logs / "cut.log.gz").write_bytes(whole[:len(whole) // 2])
     (logs / "none.log.gz").write_bytes(b"no gzip at all")
+    (logs / "empty.log").write_text("")
     (logs / "odd {name},[x].log").write_text("\n" * 250 + '{"__REALTIME_TIMESTAMP": "1744531200000000", "MESSAGE": "m"}\n')
-    heads = evidence.read_heads(spark, str(logs))
-    found = {r.path.rsplit("/", 1)[1]: r.format for r in nrm.format_of_heads(heads).collect()}
-    assert found["good.log"] == found["cut.log.gz"] == "syslog" and found["odd {name},[x].log"] == "journal"
-    assert {r.path.rsplit("/", 1)[1] for r in heads.filter("error is not null").collect()} == {"none.log.gz"}
-    assert {r.path.rsplit("/", 1)[1] for r in evidence.broken_files(spark, str(logs)).collect()} == {"cut.log.gz", "none.log.gz"}
-    lines, kinds = evidence.read_logs_by_format(spark, nrm.format_of_heads(heads))
-    counts = {r.source_file.rsplit("/", 1)[1]: r["count"] for r in lines.groupBy("source_file").count().collect()}
-    assert counts["good.log"] == 10 and kinds == ["generic", "journal", "syslog"]
-    plan = nrm.normalize(lines, kinds=kinds)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Window" not in plan and "Exchange" not in plan
+    return tmp_path / "jobs"
+
+
+def test_broken_files_do_not_end_the_job(spark, broken_tree, tmp_path):
+    heads = files.read_heads(spark, f"{broken_tree}/*/01_evidence/raw/logs")
+    found = {r.path.rsplit("/", 1)[1]: (r.format, r.error is None) for r in nrm.format_of_heads(heads).collect()}
+    assert found["good.log"] == found["cut.log.gz"] == ("syslog", True) and found["odd {name},[x].log"] == ("journal", True)
+    assert found["none.log.gz"] == ("generic", False)
+    result = analyse(spark, str(broken_tree), RULES, str(tmp_path / "logs"), reference_ts=REF)
+    counts = {r.source_file.rsplit("/", 1)[1]: r["count"] for r in result.logs.groupBy("source_file").count().collect()}
+    assert counts["good.log"] == 10 and 9900 < counts["cut.log.gz"] < 10100 and len(counts) == 3
+    broken = {r.path.rsplit("/", 1)[1]: r for r in result.broken.collect()}
+    assert set(broken) == {"cut.log.gz", "none.log.gz"} and result.broken.columns == ["path", "error", "bytes_read"]
+    assert broken["cut.log.gz"].bytes_read > 300_000 and broken["none.log.gz"].bytes_read == 0
+
+
+def test_plain_files_that_fail_are_told_too(spark, broken_tree):
+    listed = nrm.format_of_heads(files.read_heads(spark, f"{broken_tree}/*/01_evidence/raw/logs")).drop("error")
+    rows = [(r.path, r.uri, r.length, r.format) for r in listed.collect()]
+    rows += [("/gone.log", f"file://{broken_tree}/gone.log", 100, "syslog")]
+    lines = files.read_lines(spark, spark.createDataFrame(rows, listed.schema))
+    assert lines.rows.filter("source_file LIKE '%good.log'").count() == 10
+    assert {r.path.rsplit("/", 1)[1] for r in lines.broken().collect()} == {"cut.log.gz", "none.log.gz", "gone.log"}
+
+
+def test_lines_of_a_gzip_file_are_parsed_by_many_tasks(spark, tmp_path):
+    with gzip.open(tmp_path / "big.log.gz", "wt") as out:
+        out.writelines(LINE.format(f"{i} {'x' * (i % 90)}") for i in range(120_000))
+    (tmp_path / "plain.log").write_text("".join(LINE.format(i) for i in range(20_000)))
+    listed = stored(nrm.format_of_heads(files.read_heads(spark, str(tmp_path))).drop("error"))
+    lines = files.read_lines(spark, listed, span=100_000, part_lines=10_000)
+    parsed = nrm.normalize(lines.rows, kinds=lines.kinds, reference_ts=REF)
+    for name, count in (("big.log.gz", 120_000), ("plain.log", 20_000)):
+        mine = parsed.filter(F.endswith("source_file", F.lit(name)))
+        tasks = mine.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 3 and sum(r["count"] for r in tasks) == count
+        jobs = [r.message for r in mine.orderBy("line_no").collect()]
+        assert [m.split()[1] for m in jobs] == [str(i) for i in range(count)]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    assert all("value" not in line for line in plan.splitlines() if "Exchange" in line)
+    assert lines.broken().collect() == []
+
+
+def test_an_empty_tree_has_an_empty_analysis(spark, tmp_path):
+    (tmp_path / "jobs").mkdir()
+    result = analyse(spark, str(tmp_path / "jobs"), RULES, str(tmp_path / "logs"), reference_ts=REF)
+    assert [df.count() for df in (result.logs, result.findings, result.timeline, result.broken, result.coverage)] == [0] * 5
+    assert all(df.count() == 0 for df in result.correlations.values())
+
+
+def test_ingest_names_broken_files(spark, broken_tree, tmp_path):
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    ingest_new(spark, str(broken_tree), table, state, reference_ts=REF).awaitTermination()
+    assert spark.read.parquet(table).filter("source_file LIKE '%good.log'").count() == 10
+    broken = spark.read.parquet(f"{state}-broken").collect()
+    assert {r.path.rsplit("/", 1)[1] for r in broken} == {"cut.log.gz", "none.log.gz"}

@@ -84,7 +84,7 @@ def detect_format(lines: DataFrame) -> DataFrame:
 
     The first 2,000 characters decide, and as many lines hold them even if all are blank. The
     row-number filter is applied inside each partition before the shuffle, however large one file
-    is. For files, ``evidence.read_heads`` and ``format_of_heads`` read no more than the heads.
+    is. For files, ``files.read_heads`` and ``format_of_heads`` read no more than the heads.
     """
     order = Window.partitionBy("source_file").orderBy("line_no")
     head = (
@@ -102,9 +102,9 @@ def detect_format(lines: DataFrame) -> DataFrame:
 
 
 def format_of_heads(heads: DataFrame) -> DataFrame:
-    """(path, format) of (path, head): the first characters of each file."""
+    """heads (path, head: the first characters of each file) with the format in place of the head."""
     sample = F.left("head", F.lit(SAMPLE_CHARS))
-    return heads.select("path", format_of(X.base_name(F.col("path")), sample).alias("format"))
+    return heads.withColumn("format", format_of(X.base_name(F.col("path")), sample)).drop("head")
 
 
 # --------------------------------------------------------------------------- normalisation
@@ -144,7 +144,7 @@ def parse_lines(
 def _parse(lines, formats, kinds, compat, reference_ts, keep_errors) -> DataFrame:
     if formats is not None:
         lines = lines.join(formats.select("source_file", "format"), "source_file")
-    kinds = tuple(k for k in FORMATS if kinds is None or k in kinds)
+    kinds = tuple(k for k in FORMATS if kinds is None or k in kinds) or ("generic",)
     steps = kept(lines.sparkSession, _steps, kinds, compat, reference_ts, keep_errors)
     for columns in steps:
         lines = lines.select(*columns)

@@ -14,9 +14,10 @@ from vigilog.operators.detect import detect, search_rules
 from vigilog.operators.normalize import format_of_heads, normalize
 from vigilog.operators.timeline import timeline, top_events
 from vigilog.session import configure, discard_stored, stored, stored_so_far
-from vigilog.sources.evidence import read_heads, read_job_json, read_logs_by_format
+from vigilog.sources.evidence import read_job_json
+from vigilog.sources.files import read_heads, read_lines
 from vigilog.sources.rules import RuleSet
-from vigilog.sources.sinks import write_logs
+from vigilog.sources.sinks import read_log_table, write_logs
 
 JOB = ("job_id",)
 
@@ -33,6 +34,8 @@ class Analysis:
     top_events: DataFrame
     correlations: dict[str, DataFrame]
     first_stored: int = 0
+    #: Files that could not be read to their end: path, error, bytes_read. NULL without an evidence tree.
+    broken: DataFrame | None = None
 
     def close(self) -> None:
         """Delete the intermediate tables, once all results that are wanted have been written."""
@@ -56,17 +59,24 @@ def analyse(
     spark: SparkSession, root: str, rules: RuleSet, log_table: str, *,
     keys: tuple = JOB, compat: bool = False, reference_ts: datetime | None = None,
 ) -> Analysis:
-    """Parse the files below ``root`` into the Parquet table ``log_table``, then work on that."""
+    """Parse the files below ``root`` into the Parquet table ``log_table``, then work on that.
+
+    What can be read of a broken file takes part, and ``broken`` of the result names it. A tree
+    without files has an analysis without rows.
+    """
     configure(spark)
+    before = stored_so_far()
     heads = read_heads(spark, f"{root}/*/01_evidence/raw/logs")
+    lines = read_lines(spark, stored(format_of_heads(heads).drop("error")))
     # The plan then holds the parsers that are needed.
-    lines, kinds = read_logs_by_format(spark, format_of_heads(heads))
-    parsed = normalize(lines, kinds=kinds, compat=compat, reference_ts=reference_ts)
+    parsed = normalize(lines.rows, kinds=lines.kinds, compat=compat, reference_ts=reference_ts)
     write_logs(parsed, log_table, mode="overwrite")
-    return analyse_logs(
-        spark.read.parquet(log_table), rules, read_job_json(spark, root, "services"),
+    result = analyse_logs(
+        read_log_table(spark, log_table), rules, read_job_json(spark, root, "services"),
         keys=keys, compat=compat,
     )
+    result.broken, result.first_stored = lines.broken(), before
+    return result
 
 
 def analyse_logs(

@@ -97,7 +97,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options) -> DataFrame:
     """Write the rows as a table in the cluster's shared checkpoint folder and read them back.
 
     Later uses neither recompute them nor depend on the executors that did, and the planner knows
@@ -105,7 +105,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vigilog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,18 +5,13 @@ A job folder is named ``YYYYMMDD_HHMMSS_host``; job id, time and host are column
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog import schema
 from vigilog.operators.integrity import ROW_BYTES, hash_large_files, manifest_of
-from vigilog.session import ship_code
+from vigilog.sources.files import JOB_DIR
 
-JOB_DIR = r"/(\d{8}_\d{6}_[^/]+)/"
 JSON_FILES = {
     "system_info": ("system_info.json", schema.SYSTEM_INFO),
     "services": ("services_inventory.json", schema.SERVICES),
@@ -47,7 +42,8 @@ def read_logs(
     row's position in its task: distinct and ascending within a file, at no cost. With
     ``exact_line_numbers`` it counts from 1; that reads the files twice and joins a row per split.
     A gzip file cannot be split, so its lines are one task's work until the next shuffle. What can be
-    read of a broken file is read, and the others go on; ``broken_files`` names such files.
+    read of a broken file is read, and the others go on; ``files.read_lines`` also says which files
+    are broken, and has many tasks parse a large gzip file.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path)
@@ -77,80 +73,6 @@ def read_logs(
     )
 
 
-def _paths(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, uri) of all files, spread over tasks; contents are not read."""
-    ship_code(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", F.col("_metadata.file_path").alias("uri"))
-    return files.repartition(spark.sparkContext.defaultParallelism, "path")
-
-
-def _opened(uri: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(uri)
-    return system.open_input_stream(inner, compression="gzip" if inner.endswith(".gz") else None)
-
-
-def read_heads(spark: SparkSession, path: str | list[str], chars: int = 2000) -> DataFrame:
-    """(path, head, error) of every file: its first characters, by one bounded read per file.
-
-    A file whose head cannot be read has an empty head and says why.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            heads, errors = [], []
-            for uri in batch["uri"]:
-                head, error = b"", None
-                try:
-                    with _opened(uri) as stream:
-                        while len(head) < 4 * chars and (more := stream.read(4 * chars - len(head))):
-                            head += more
-                except OSError as problem:
-                    error = str(problem)[:500]
-                heads.append(head.decode("utf-8", "replace")[:chars].replace("\0", "\ufffd"))
-                errors.append(error)
-            yield pd.DataFrame({"path": batch["path"], "head": heads, "error": errors})
-
-    return _paths(spark, path).mapInPandas(run, "path string, head string, error string")
-
-
-def broken_files(spark: SparkSession, path: str | list[str], chunk: int = 1 << 20) -> DataFrame:
-    """(path, error) of files that cannot be read to their end, such as cut gzip files.
-
-    Every file is streamed once, a chunk at a time; run it beside the analysis where that matters.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for path, uri in zip(batch["path"], batch["uri"], strict=True):
-                try:
-                    with _opened(uri) as stream:
-                        while stream.read(chunk):
-                            pass
-                except OSError as problem:
-                    found.append((path, str(problem)[:500]))
-            yield pd.DataFrame(found, columns=["path", "error"])
-
-    return _paths(spark, path).mapInPandas(run, "path string, error string")
-
-
-def read_logs_by_format(spark: SparkSession, formats: DataFrame) -> tuple[DataFrame | None, list[str]]:
-    """(lines with their format, the formats that occur) of (path, format): one read per format.
-
-    Each format's files are read by name, so no line meets a table of formats. Names of files are
-    what the driver lists for any read. Without files there are no lines.
-    """
-    by_format: dict[str, list[str]] = {}
-    for row in formats.toLocalIterator():
-        by_format.setdefault(row.format, []).append(re.sub(r"([\\{}\[\]*?,])", r"\\\1", row.path))
-    lines = None
-    for kind, paths in sorted(by_format.items()):
-        part = read_logs(spark, paths).withColumn("format", F.lit(kind))
-        lines = part if lines is None else lines.unionByName(part)
-    return lines, sorted(by_format)
-
-
 def read_job_json(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """System info, services inventory, acquisition log, manifest or signature, a row per job."""
     name, ddl = JSON_FILES[kind]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilog import schema
+
 
 def write_logs(logs: DataFrame, path: str, *, format: str = "parquet", mode: str = "append") -> None:
     """Normalised entries by day (``dt``; undated rows under the null partition), or as JSON lines.
@@ -16,6 +18,11 @@ def write_logs(logs: DataFrame, path: str, *, format: str = "parquet", mode: str
     dated.write.mode(mode).format(format).partitionBy("dt").save(path)
 
 
+def read_log_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_logs`` wrote, even if it has no rows and so no files."""
+    return spark.read.schema(f"{schema.LOG}, dt date").parquet(path)
+
+
 def write_timeline(timeline: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; file order is time order, as the timeline is range-partitioned."""
     timeline.write.mode(mode).option("header", True).option("escape", '"').csv(path)

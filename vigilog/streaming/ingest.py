@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilog.operators.normalize import format_of_heads, normalize
-from vigilog.sources.evidence import read_heads, read_logs_by_format
+from vigilog.session import discard_stored, stored, stored_so_far
+from vigilog.sources.files import read_heads, read_lines
 from vigilog.sources.sinks import write_logs
 
 MAX_FILES = 10_000  # per batch; bounds the list of paths the driver handles
@@ -19,10 +20,13 @@ MAX_FILES = 10_000  # per batch; bounds the list of paths the driver handles
 
 def ingest_new(
     spark: SparkSession, path: str, log_table: str, checkpoint: str, *,
-    compat: bool = False, reference_ts: datetime | None = None,
+    compat: bool = False, reference_ts: datetime | None = None, broken_table: str | None = None,
 ) -> StreamingQuery:
     """Append the entries of new files to the log table, then stop.
 
+    Files that could not be read to their end go to ``broken_table`` (path, error, bytes_read), by
+    default a folder beside the checkpoint.
+
     The stream discovers files only; each batch of them is read, its formats are detected and its
     lines are parsed by the batch operators, so the table equals one full run over all files.
     """
@@ -37,10 +41,13 @@ def ingest_new(
         paths = [row.path for row in batch.distinct().collect()]
         if not paths:
             return
-        lines, kinds = read_logs_by_format(spark, format_of_heads(read_heads(spark, paths)))
-        parsed = normalize(lines, kinds=kinds, compat=compat, reference_ts=reference_ts)
+        before = stored_so_far()
+        lines = read_lines(spark, stored(format_of_heads(read_heads(spark, paths)).drop("error")))
+        parsed = normalize(lines.rows, kinds=lines.kinds, compat=compat, reference_ts=reference_ts)
         # A batch repeated after a failure replaces its own folder instead of adding to it.
         write_logs(parsed, f"{log_table}/batch={batch_id}", mode="overwrite")
+        lines.broken().write.mode("overwrite").parquet(f"{broken_table or checkpoint + '-broken'}/batch={batch_id}")
+        discard_stored(spark, before)
 
     return (
         files.writeStream.foreachBatch(append)
