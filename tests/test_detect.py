@@ -164,6 +164,44 @@ def test_threshold_equals_brute_force(make_logs, n, window):
     assert matched == Counter(k for _, k in rows if k in expected)
 
 
+def test_threshold_bounds_are_exact(make_logs):
+    """Windows of odd lengths in microseconds, with hits that lie exactly on their ends and beside them."""
+    rng = random.Random(8)
+    windows = {f"r{n}_{w}": (n, w / 1e6) for n in (2, 3, 7) for w in (0, 1, 31, 32, 33, 1000, 1023, 64_007)}
+    rows = []
+    for name, (n, window) in windows.items():
+        for k in range(12):
+            t, w = rng.randint(-10**6, 10**6), round(window * 1e6)
+            for _ in range(rng.randint(n - 1, 2 * n)):
+                rows.append((t / 1e6, "s", f"{name}! {name}x{k}"))
+                t += max(0, rng.choice([w // max(1, n - 1), w // n, w - (n - 2), w, w + 1, 0, w // 2]) + rng.randint(-1, 1))
+    rs = rules(**{name: threshold([rf"{name}! (?P<src_ip>\w+)"], count=n, window=window) for name, (n, window) in windows.items()})
+    want = set()
+    for name, (n, window) in windows.items():
+        times = defaultdict(list)
+        for t, _, text in rows:
+            if text.startswith(f"{name}!"):
+                times[text.split()[1]].append(round(t * 1e6))
+        for key, at in times.items():
+            at.sort()
+            if any(at[i + n - 1] - at[i] <= round(window * 1e6) for i in range(len(at) - n + 1)):
+                want.add((name, key))
+    got = det.fired_keys(stored(det.search_rules(make_logs(rows), rs)), rs).collect()
+    assert {(r.rule_path, r.key) for r in got} == want and len(got) == len(want) and 60 < len(want) < 250
+
+
+def test_crowded_keys_send_no_hits(make_logs):
+    """What the bounds decide is decided from counts: a steady hot key and a quiet one fetch no times."""
+    logs = make_logs([(i / 10, "s", "hit hot") for i in range(3000)] + [(i * 50, "s", "hit quiet") for i in range(40)])
+    rs = rules(t=threshold([r"hit (?P<src_ip>\w+)"], count=20, window=60))
+    hits = stored(det.search_rules(logs, rs))
+    fired = det.fired_keys(hits, rs)
+    assert [r.key for r in fired.collect()] == ["hot"]
+    plan = fired._jdf.queryExecution().executedPlan().toString()
+    assert "_times" not in plan.split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    assert det.detect_threshold(hits, rs).count() == 3000
+
+
 def test_threshold_limits_and_keys(make_logs):
     logs = make_logs([
         (0, "s", "hit a"), (30, "s", "hit a"), (60, "s", "hit a"),  # exactly the window

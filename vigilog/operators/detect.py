@@ -15,11 +15,13 @@ from vigilog.functions import lookups as L
 from vigilog.functions import regex as R
 from vigilog.functions.regex import sql_string
 from vigilog.session import stored
-from vigilog.sources.rules import Rule, RuleSet
+from vigilog.sources.rules import MAX_RULES, Rule, RuleSet
 
 MICROS = 1_000_000
 UNKNOWN_KEY = "unknown"
 CELLS = 1024  # parts of one window length, so that no task owns a whole crowded window
+PARTS = 32  # cells of a threshold's window, and of a bucket of it
+SALTS = 16  # parts of a key's hits where they meet the row that says the key fired
 
 
 # --------------------------------------------------------------------------- scope (D1)
@@ -179,7 +181,9 @@ def _keyed(hits: DataFrame, rules: RuleSet, compat: bool) -> DataFrame:
 
 
 def _params(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
-    """Rule settings as a table; the number of rules bounds it."""
+    """Rule settings as a table; the number of rules bounds it, so joins may broadcast it."""
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"{len(rows)} rules exceed the limit of {MAX_RULES}")
     return spark.createDataFrame(rows, ddl).coalesce(1)
 
 
@@ -188,35 +192,44 @@ def fired_keys(
 ) -> DataFrame:
     """(keys, rule_path, key): some N hits of the key lie within W seconds of each other.
 
-    Time is cut into buckets of length W. N hits in one bucket fire at once, known from a count that
-    combines before the shuffle. What is left are buckets of fewer than N hits, and a window can
-    only span two neighbours, so each remaining check sees less than 2N times: no task ever holds
-    all hits of a key.
+    Hits are counted per cell, a small part of W; the counts combine before the shuffle. N hits in as
+    many neighbouring cells as surely lie within W fire. If even the cells that a window can touch
+    hold fewer, nothing can. Only where these two bounds leave it open are times fetched: for keys that
+    nothing else has fired, in pairs of buckets that then hold a few times N hits at most.
     """
     return _fired(_keyed(hits, rules, compat), keys)
 
 
 def _fired(keyed: DataFrame, keys: tuple) -> DataFrame:
     group = [*keys, "rule_path", "_k"]
-    dated = keyed.filter(F.col("_us").isNotNull()).select(
-        *group, "key", "_n", "_w", "_us",
-        F.when(F.col("_w") == 0, F.col("_us"))
-        .otherwise(F.expr("(_us - pmod(_us, _w)) div _w"))
-        .alias("_bucket"),
+    dated = (
+        keyed.filter(F.col("_us").isNotNull())
+        .select(*group, "key", "_n", "_w", "_us", F.expr(f"greatest(1, (_w + {PARTS - 1}) div {PARTS})").alias("_width"))
+        .withColumn("_cell", F.expr("(_us - pmod(_us, _width)) div _width"))
+        .withColumn("_bucket", F.expr(f"(_cell - pmod(_cell, {PARTS})) div {PARTS}"))
     )
-    counts = dated.groupBy(*group, "key", "_n", "_w", "_bucket").agg(F.count("*").alias("_hits"))
-    crowded = counts.filter(F.col("_hits") >= F.col("_n")).select(*group, "key")
+    about = [*group, "key", "_n", "_w", "_width", "_bucket"]
+    counts = dated.groupBy(*about, "_cell").agg(F.count("*").alias("_hits"))
+    # A window that ends in one bucket begins there or in the one before, so cells stand in two.
+    near = counts.withColumn("_bucket", F.explode(F.array("_bucket", F.col("_bucket") + 1))).groupBy(*about).agg(
+        F.sum("_hits").alias("_all"), F.collect_list(F.struct("_cell", "_hits")).alias("_cells")  # 2 * PARTS at most
+    ).filter(F.col("_all") >= F.col("_n"))
+    within = (
+        "exists(filter(_cells, c -> c._cell >= _bucket * {parts}), c -> aggregate("
+        "filter(_cells, x -> x._cell <= c._cell AND x._cell > c._cell - ({cells})), 0L, (sum, x) -> sum + x._hits) >= _n)"
+    )
+    judged = near.select(
+        *about,
+        F.expr(within.format(parts=PARTS, cells="(_w + 1) div _width")).alias("_sure"),
+        F.expr(within.format(parts=PARTS, cells="(_w + _width - 1) div _width + 1")).alias("_open"),
+    ).filter("_open")
+    sure = judged.filter("_sure").select(*group, "key").distinct()
     pairs = (
-        counts.filter((F.col("_hits") < F.col("_n")) & (F.col("_w") > 0))
-        .select(*group, "_n", "_hits", F.explode(F.array("_bucket", F.col("_bucket") - 1)).alias("_pair"))
-        .groupBy(*group, "_n", "_pair")
-        .agg(F.sum("_hits").alias("_hits"))
-        .filter(F.col("_hits") >= F.col("_n"))
-        .select(*group, "_pair", F.explode(F.array("_pair", F.col("_pair") + 1)).alias("_bucket"))
+        judged.filter("NOT _sure").join(sure, group, "left_anti")
+        .select(*group, F.col("_bucket").alias("_pair"), F.explode(F.array("_bucket", F.col("_bucket") - 1)).alias("_bucket"))
     )
-    sparse = counts.filter(F.col("_hits") < F.col("_n")).select(*group, "_bucket")
     straddling = (
-        dated.join(pairs.join(sparse, [*group, "_bucket"]), [*group, "_bucket"])
+        dated.join(pairs, [*group, "_bucket"])
         .groupBy(*group, "key", "_n", "_w", "_pair")
         .agg(F.sort_array(F.collect_list("_us")).alias("_times"))
         .filter(
@@ -227,7 +240,7 @@ def _fired(keyed: DataFrame, keys: tuple) -> DataFrame:
         )
         .select(*group, "key")
     )
-    return crowded.unionByName(straddling).distinct()
+    return sure.unionByName(straddling).distinct()
 
 
 def detect_threshold(
@@ -235,9 +248,11 @@ def detect_threshold(
 ) -> DataFrame:
     """All hits, dated or not, of the keys that fire. ``hits`` comes from ``search_rules``."""
     keyed = _keyed(hits, rules, compat)
-    fired = _fired(keyed, keys)
-    group = [*keys, "rule_path", "_k"]
-    return keyed.join(fired.select(*group), group, "left_semi").select(*hits.columns)
+    # The hits of one key are dealt over several tasks, to each of which its row is repeated.
+    part = F.pmod(F.xxhash64("source_file", "line_no"), F.lit(SALTS)).cast("int")
+    group = [*keys, "rule_path", "_k", "_part"]
+    fired = _fired(keyed, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.withColumn("_part", part).join(fired.select(*group), group, "left_semi").select(*hits.columns)
 
 
 # --------------------------------------------------------------------------- sequence (D6)
