@@ -1,12 +1,15 @@
 """Parsing, one fixture file per format and every documented edge case."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigilog import schema
 from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
+from vigilog.operators import years
 
 REF = datetime(2026, 4, 20)
 FILES = {
@@ -222,3 +225,44 @@ def test_stats(lines):
     assert by["source", "auth.log"].entries == 4 and by["source", "auth.log"].parse_errors == 1
     assert by["total", ""].parse_errors == 5
     assert by["level", "warn"].entries == 1
+
+
+@pytest.mark.parametrize("block", [1, 13, 10_000])
+def test_years_follow_the_order_of_lines(spark, block, monkeypatch):
+    """Four years in one file, with late lines around New Year, cut into blocks; the true years come out."""
+    rng = random.Random(block)
+    rows, truth = [], {}
+
+    def add(name, times):
+        for i, t in enumerate(times):
+            truth[name, 7 * i + 3] = t
+            rows.append((name, 7 * i + 3, f"{t:%b} {t.day:2d} {t:%H:%M:%S} h app[1]: m", "syslog"))
+
+    def climb(start, days, most):
+        at, out = start, []
+        while at < start + timedelta(days=days):
+            late = timedelta(days=rng.choice([0, 0, 0, 1, 5])) if rng.random() < 0.2 else timedelta()
+            out.append(at - late)
+            at += timedelta(seconds=rng.uniform(0, most * 86400))
+        return [t.replace(microsecond=0) for t in out]
+
+    add("/a", climb(datetime(2022, 3, 1), 1490, 20))
+    add("/b", climb(datetime(2023, 12, 20), 20, 1))
+    add("/c", climb(datetime(2024, 2, 1), 800, 200))
+    add("/leap", [datetime(2024, 2, 28, 1), datetime(2024, 2, 29, 1), datetime(2024, 3, 1, 1)] + [datetime(2025, 1, 1), datetime(2025, 12, 20)])
+    for i in range(100):
+        rows.append(("/noise", i, f"{'Jan' if i % 2 else 'Jul'}  1 00:00:00 h app[1]: m", "syslog"))
+    rows += [("/a", 5, "no date here", "syslog"), ("/a", 6, "Foo  3 00:00:00 h app: m", "syslog"), ("/web", 1, "Jan  1 00:00:00 x", "access")]
+    monkeypatch.setattr(years, "MOST_CHANGES", 30)
+    lines = spark.createDataFrame(rows, "source_file string, line_no bigint, value string, format string").repartition(5)
+    found = years.syslog_years(lines, REF, block=block)
+    table = {r.source_file: r for r in found.collect()}
+    assert set(table) == {"/a", "/b", "/c", "/leap"} and table["/a"].last_year == 2026
+    ends = {name: max(n for f, n in truth if f == name) for name, _ in truth}
+    want = {k: t for k, t in truth.items() if truth[k[0], ends[k[0]]].year == table[k[0]].last_year}
+    assert {k[0] for k in want} >= {"/a", "/leap"}
+    got = nrm.normalize(
+        years.with_years(lines, found).withColumns({"job_id": F.lit("j"), "host": F.lit("h")}), kinds=["syslog"], reference_ts=REF)
+    times = {(r.source_file, r.line_no): r.ts for r in got.collect() if r.ts is not None}
+    assert {k: times[k] for k in want} == want
+    assert ("/noise", 3) in times  # by the reference alone

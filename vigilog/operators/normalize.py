@@ -136,7 +136,8 @@ def parse_lines(
     ``formats`` (source_file, format) holds a row per file; without it ``lines`` has the column.
     ``kinds`` names the formats that occur, if known: the plan then leaves out the other parsers, and
     lines of other formats are dropped.
-    ``reference_ts`` supplies the year that syslog times lack; the default is the current time.
+    ``reference_ts`` supplies the year that syslog times lack; the default is the current time. For
+    files that span several years, ``years.with_years`` gives the lines a ``year``, which then decides.
     """
     return _parse(lines, formats, kinds, compat, reference_ts, keep_errors=True)
 
@@ -145,18 +146,18 @@ def _parse(lines, formats, kinds, compat, reference_ts, keep_errors) -> DataFram
     if formats is not None:
         lines = lines.join(formats.select("source_file", "format"), "source_file")
     kinds = tuple(k for k in FORMATS if kinds is None or k in kinds) or ("generic",)
-    steps = kept(lines.sparkSession, _steps, kinds, compat, reference_ts, keep_errors)
+    steps = kept(lines.sparkSession, _steps, kinds, compat, reference_ts, keep_errors, "year" in lines.columns)
     for columns in steps:
         lines = lines.select(*columns)
     return lines
 
 
-def _steps(kinds: tuple, compat: bool, reference_ts, keep_errors: bool) -> list[list[Column]]:
+def _steps(kinds: tuple, compat: bool, reference_ts, keep_errors: bool, has_years: bool) -> list[list[Column]]:
     """The projections, in order; each reads the columns of the one before."""
     fmt = F.col("format")
     line = X.strip_cr(F.col("value"))
     json_options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
-    plain = [F.col(c) for c in PLAIN]
+    plain = [F.col(c) for c in (*PLAIN, *(["year"] if has_years else []))]
     regexes = {"syslog": SYSLOG, "access": ACCESS, "error": ERROR, "audit": AUDIT, "generic": ISO}
     captured = {
         k: X.fields(line, regex, WIDTH[k]) for k, regex in regexes.items() if k in kinds
@@ -205,7 +206,7 @@ def _steps(kinds: tuple, compat: bool, reference_ts, keep_errors: bool) -> list[
     wanted = (F.col("value") != "") & fmt.isin(*kinds)
     if json:
         wanted &= ~fmt.isin("journal", "entry_jsonl") | F.startswith(F.trim("value"), F.lit("{"))
-    steps += _columns(kinds, json, compat, reference_ts, wanted, keep_errors)
+    steps += _columns(kinds, json, compat, reference_ts, wanted, keep_errors, has_years)
     return steps
 
 
@@ -230,7 +231,7 @@ def _t(i: int) -> Column:
 
 
 def _columns(
-    kinds: tuple, json: list, compat: bool, reference_ts, wanted: Column, keep_errors: bool
+    kinds: tuple, json: list, compat: bool, reference_ts, wanted: Column, keep_errors: bool, has_years: bool
 ) -> list[list[Column]]:
     def by_kind(cases: dict, default=None) -> Column:
         return _cases("kind", cases, kinds, default)
@@ -246,7 +247,8 @@ def _columns(
     iso_hit = F.size("p") == WIDTH["generic"]
 
     ts = by_kind({
-        "syslog": syslog_time(_p(0), _p(1), _p(2), _p(3), _p(4), reference_ts, compat),
+        "syslog": syslog_time(
+            _p(0), _p(1), _p(2), _p(3), _p(4), reference_ts, compat, own_year=F.col("year") if has_years else None),
         "access": _access_time(),
         "error": X.utc_timestamp(_t(5), X.lookup(L.MONTHS, F.lower(_t(0))), _t(1), _t(2), _t(3), _t(4)),
         "audit": _epoch_micros(F.try_multiply(_p(1).try_cast("bigint"), F.lit(1_000_000))),
@@ -474,12 +476,18 @@ def infer_service(path: Column) -> Column:
     )
 
 
-def syslog_time(month, day, hh, mm, ss, reference_ts, compat, default_month=1) -> Column:
-    """Syslog times carry no year: take the reference's, or the one before for a future time."""
+def syslog_time(month, day, hh, mm, ss, reference_ts, compat, default_month=1, own_year=None) -> Column:
+    """Syslog times carry no year: take the reference's, or the one before for a future time.
+
+    Where ``own_year`` is known it decides."""
     ref = F.lit(reference_ts).cast("timestamp") if reference_ts else F.current_timestamp()
     number = X.lookup(L.MONTHS, F.lower(month))
     if default_month is not None:
         number = F.coalesce(number, F.lit(default_month))
+    if own_year is not None:
+        known = X.utc_timestamp(own_year, number, day, hh, mm, ss)
+        guess = syslog_time(month, day, hh, mm, ss, reference_ts, compat, default_month)
+        return F.when(own_year.isNotNull(), known).otherwise(guess)
     year = F.year(ref)
     same = X.utc_timestamp(year, number, day, hh, mm, ss)
     if compat:

@@ -6,6 +6,8 @@ the expected fields straight from the tables.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from vigilog.operators import findings as fnd
 from vigilog.operators import integrity, summary
 from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
+from vigilog.operators import years as yrs
 from vigilog.plans import adapter as A
 from vigilog.plans.analysis import find_matches
 from vigilog.session import configure, spread, stored
@@ -349,6 +352,29 @@ def text_to_entries(spark, d):
     return rows.select("job_id", "line_no", "ts_epoch", "hostname", "service", "pid", "message")
 
 
+YEARS_REF = datetime(2002, 3, 1)
+
+
+@query("syslog_years", """SELECT 'app' || (o_custkey % 4) AS host,
+  epoch_us(o_orderdate + INTERVAL (o_orderkey % 80000) SECOND) // 1000000 AS second, count(*) AS entries
+  FROM orders GROUP BY 1, 2""")
+def syslog_years(spark, d):
+    """Orders of seven years as syslog lines without years, four files in order of time."""
+    orders = A.read(spark, d, "orders")
+    host = F.concat(F.lit("app"), F.expr("o_custkey % 4"))
+    at = F.expr("CAST(o_orderdate AS timestamp) + make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 80000)")
+    lines = orders.select(
+        F.lit("20020301_000000_app").alias("job_id"), host.alias("host"),
+        F.concat(F.lit("/jobs/20020301_000000_app/01_evidence/raw/logs/var_log_"), host).alias("source_file"),
+        (F.unix_micros(at) + F.col("o_orderkey") % 1_000_000).alias("line_no"),
+        F.concat(F.date_format(at, "MMM dd HH:mm:ss "), host, F.lit(" app[1]: order "), "o_orderkey").alias("value"),
+        F.lit("syslog").alias("format"),
+    )
+    years = yrs.syslog_years(lines, YEARS_REF, block=10 * 86_400_000_000)
+    logs = nrm.normalize(yrs.with_years(lines, years), kinds=["syslog"], reference_ts=YEARS_REF)
+    return logs.groupBy(F.col("hostname").alias("host"), F.unix_seconds("ts").alias("second")).agg(F.count("*").alias("entries"))
+
+
 @query("log_stats", f"""WITH {EVENTS}, s AS (
   SELECT CASE WHEN grouping(src) = 0 THEN 'source' WHEN grouping(service) = 0 THEN 'service'
               WHEN grouping(level) = 0 THEN 'level' ELSE 'total' END AS dimension,
