@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.operators import merkle
+
 # Files up to this size are hashed by Spark from their content; larger ones exceed a sensible row.
 ROW_BYTES = 256 * 1024 * 1024
 CHUNK = 1 << 20
@@ -61,22 +63,12 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
 
 
 def sign(manifest: DataFrame) -> DataFrame:
-    """(job_id, manifest_sha256): hash of the job's manifest rows in path order.
+    """(job_id, manifest_sha256): the root of a hash tree over the job's manifest rows.
 
-    A job's rows are hashed in buckets of paths and the bucket hashes once more, so that no task
-    gathers the whole manifest of a large job.
+    No list of the tree exceeds its fan-out; ``merkle`` has the tree itself, proofs for single files,
+    and the branches in which two manifests differ.
     """
-    row = F.concat_ws("\t", "relative_path", F.col("size_bytes").cast("string"), "sha256")
-    buckets = (
-        manifest.withColumn("bucket", F.left(F.sha2(F.col("relative_path"), 256), F.lit(3)))
-        .groupBy("job_id", "bucket")
-        .agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
-        .select("job_id", "bucket", F.sha2("rows", 256).alias("hash"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "hash")))
-    return buckets.groupBy("job_id").agg(
-        F.sha2(F.array_join(ordered["hash"], "\n"), 256).alias("manifest_sha256")
-    )
+    return merkle.root(merkle.tree(manifest))
 
 
 def verify(manifest: DataFrame, current: DataFrame) -> DataFrame:

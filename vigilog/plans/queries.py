@@ -16,7 +16,7 @@ from vigilog.operators import correlate as cor
 from vigilog.operators import coverage as cov
 from vigilog.operators import detect as det
 from vigilog.operators import findings as fnd
-from vigilog.operators import integrity, summary
+from vigilog.operators import integrity, merkle, summary
 from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
 from vigilog.operators import years as yrs
@@ -923,15 +923,70 @@ def manifest_totals(spark, d):
     return integrity.manifest_totals(integrity.manifest_of(_artifacts(spark, d)))
 
 
-@query("manifest_signature", f"""WITH {ARTIFACTS}, b AS (
-  SELECT job_id, left(sha256(relative_path), 3) AS bucket,
-    sha256(string_agg(relative_path || chr(9) || size_bytes || chr(9) || sha256, chr(10) ORDER BY relative_path)) AS h
-  FROM art GROUP BY 1, 2)
-  SELECT job_id, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS manifest_sha256 FROM b GROUP BY job_id""")
+def _tree_sql(digits: int, deepest: int) -> str:
+    """The tree of a manifest in plain SQL, to a fixed depth: tables n0, n1, ... of nodes."""
+    most = 16 ** digits
+    counts = ", ".join(
+        f"count(*) OVER (PARTITION BY job_id, left(name, {d * digits})) AS c{d}" for d in range(deepest))
+    depth = " ".join(f"WHEN c{d} <= {most} THEN {d}" for d in range(deepest))
+    levels = []
+    for d in reversed(range(deepest + 1)):
+        inner = "" if d == deepest else f"""
+  UNION ALL SELECT job_id, left(prefix, {d * digits}), 'node', sum(files),
+    sha256('node' || chr(10) || string_agg(right(prefix, {digits}) || ':' || hash, chr(10) ORDER BY prefix))
+  FROM n{d + 1} GROUP BY job_id, left(prefix, {d * digits})"""
+        levels.append(f"n{d} AS (SELECT job_id, prefix, 'leaf' AS kind, files, hash FROM listed WHERE depth = {d}{inner})")
+    return f"""{ARTIFACTS}, leaves AS (
+  SELECT DISTINCT job_id, sha256(relative_path) AS name,
+    sha256(relative_path) || ':' || sha256(relative_path || chr(9) || size_bytes || chr(9) || sha256) AS entry FROM art),
+counted AS (SELECT *, {counts} FROM leaves),
+placed AS (SELECT *, CASE {depth} ELSE {deepest} END AS depth FROM counted),
+listed AS (
+  SELECT job_id, depth, left(name, depth * {digits}) AS prefix, count(*) AS files,
+    sha256('leaf' || chr(10) || string_agg(entry, chr(10) ORDER BY entry)) AS hash
+  FROM placed GROUP BY job_id, depth, left(name, depth * {digits})),
+{", ".join(levels)}"""
+
+
+@query("manifest_signature", f"WITH {_tree_sql(2, 4)} SELECT job_id, hash AS manifest_sha256 FROM n0")
 def manifest_signature(spark, d):
     return integrity.sign(integrity.manifest_of(_artifacts(spark, d)))
 
 
+@query("manifest_tree", f"WITH {_tree_sql(1, 5)} " + " UNION ALL ".join(
+    f"SELECT job_id, {i} AS depth, prefix, kind, CAST(files AS BIGINT) AS files, hash FROM n{i}" for i in range(6)))
+def manifest_tree(spark, d):
+    return merkle.tree(integrity.manifest_of(_artifacts(spark, d)), digits=1).drop("entries")
+
+
+@query("manifest_proofs", f"""WITH {ARTIFACTS} SELECT job_id, relative_path, coalesce(toxic, 0) <> 1 AS valid
+  FROM art LEFT JOIN labels USING (doc_id)""")
+def manifest_proofs(spark, d):
+    # Each file is proved from the tree that was signed; afterwards toxic documents have changed.
+    files = _artifacts(spark, d)
+    signed = stored(merkle.tree(integrity.manifest_of(files), digits=1))
+    changed = F.when(F.col("toxic") == 1, F.concat("content", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("content"))
+    now = integrity.manifest_of(files.join(A.read(spark, d, "labels"), "doc_id", "left").withColumn("content", changed))
+    return merkle.verify_proofs(merkle.prove(signed, now, digits=1), now, merkle.root(signed))
+
+
+_SHORT_COUNTS = ", ".join(f"count(*) OVER (PARTITION BY job_id, left(name, {i})) AS c{i}" for i in range(5))
+_SHORT_DEPTH = "CASE " + " ".join(f"WHEN c{i} <= 16 THEN {i}" for i in range(5)) + " ELSE 5 END"
+
+
+@query("manifest_changes", f"""WITH {ARTIFACTS}, named AS (
+  SELECT job_id, sha256(relative_path) AS name, coalesce(toxic, 0) = 1 AS changed FROM art LEFT JOIN labels USING (doc_id)),
+sized AS (SELECT *, {_SHORT_COUNTS} FROM named)
+  SELECT DISTINCT job_id, left(name, {_SHORT_DEPTH}) AS prefix, 'changed' AS change FROM sized WHERE changed""")
+def manifest_changes(spark, d):
+    """The branches that name the changed files."""
+    files = _artifacts(spark, d)
+    changed = F.when(F.col("toxic") == 1, F.concat("content", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("content"))
+    now = files.join(A.read(spark, d, "labels"), "doc_id", "left").withColumn("content", changed)
+    before, after = (merkle.tree(integrity.manifest_of(f), digits=1) for f in (files, now))
+    return merkle.changed_branches(before, after)
+
+
 @query("signature_verify", f"""WITH {ARTIFACTS} SELECT doc_id || '' AS job_id, art.sha256 AS expected,
   CASE WHEN lang = 'es' THEN NULL WHEN toxic = 1 THEN sha256(text || '!') ELSE art.sha256 END AS actual,
   lang <> 'es' AND coalesce(toxic, 0) <> 1 AS valid FROM art LEFT JOIN labels USING (doc_id)""")
