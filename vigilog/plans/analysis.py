@@ -13,6 +13,7 @@ from vigilog.operators.coverage import coverage
 from vigilog.operators.detect import detect, search_rules
 from vigilog.operators.normalize import format_of_heads, normalize
 from vigilog.operators.timeline import timeline, top_events
+from vigilog.operators.years import syslog_years, with_years
 from vigilog.session import configure, discard_stored, stored, stored_so_far
 from vigilog.sources.evidence import read_job_json
 from vigilog.sources.files import read_heads, read_lines
@@ -57,10 +58,12 @@ def find_matches(
 
 def analyse(
     spark: SparkSession, root: str, rules: RuleSet, log_table: str, *,
-    keys: tuple = JOB, compat: bool = False, reference_ts: datetime | None = None,
+    keys: tuple = JOB, compat: bool = False, reference_ts: datetime | None = None, scan_years: bool = False,
 ) -> Analysis:
     """Parse the files below ``root`` into the Parquet table ``log_table``, then work on that.
 
+    ``scan_years`` reads syslog files once more before, for logs that span several years.
+
     What can be read of a broken file takes part, and ``broken`` of the result names it. A tree
     without files has an analysis without rows.
     """
@@ -68,8 +71,11 @@ def analyse(
     before = stored_so_far()
     heads = read_heads(spark, f"{root}/*/01_evidence/raw/logs")
     lines = read_lines(spark, stored(format_of_heads(heads).drop("error")))
+    rows = lines.rows
+    if scan_years and "syslog" in lines.kinds:
+        rows = with_years(rows, stored(syslog_years(rows, reference_ts)))
     # The plan then holds the parsers that are needed.
-    parsed = normalize(lines.rows, kinds=lines.kinds, compat=compat, reference_ts=reference_ts)
+    parsed = normalize(rows, kinds=lines.kinds, compat=compat, reference_ts=reference_ts)
     write_logs(parsed, log_table, mode="overwrite")
     result = analyse_logs(
         read_log_table(spark, log_table), rules, read_job_json(spark, root, "services"),

@@ -6,6 +6,7 @@ the expected fields straight from the tables.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,15 @@ from vigilog.operators import coverage as cov
 from vigilog.operators import detect as det
 from vigilog.operators import findings as fnd
 from vigilog.operators import integrity, merkle, summary
+from vigilog.operators import literal_index as lix
 from vigilog.operators import normalize as nrm
 from vigilog.operators import timeline as tml
 from vigilog.operators import years as yrs
 from vigilog.plans import adapter as A
 from vigilog.plans.analysis import find_matches
-from vigilog.session import configure, spread, stored
+from vigilog.session import configure, shared_folder, spread, stored
 from vigilog.sources.rules import RuleSet
+from vigilog.sources.sinks import write_logs
 
 
 def _rule(rule_id, severity, confidence, service, detection, **more) -> dict:
@@ -571,19 +574,36 @@ def service_scope(spark, d):
     return det.scope(_logs(spark, d), RULES)
 
 
-@query("pattern_matches", f"""WITH {EVENTS}
+_PATTERN_SQL = f"""WITH {EVENTS}
   SELECT job_id, 'web/agent.yaml' AS rule_path, 'WEB-1' AS rule_id, line_no,
          CASE WHEN length(k) = 1 THEN 0 ELSE 1 END AS pattern_idx, k AS captured_value, src_ip FROM logs WHERE NOT err
   UNION ALL SELECT job_id, 'web/command.yaml', 'WEB-2', line_no, 0, k, src_ip FROM logs WHERE event_type = 'purchase'
-  UNION ALL SELECT job_id, 'web/traversal.yaml', 'WEB-5', line_no, 0, uri, src_ip FROM logs WHERE event_type = 'signup'""")
-def pattern_matches(spark, d):
+  UNION ALL SELECT job_id, 'web/traversal.yaml', 'WEB-5', line_no, 0, uri, src_ip FROM logs WHERE event_type = 'signup'"""
+
+
+def _pattern_columns(hits: DataFrame) -> DataFrame:
     value = F.coalesce(*[F.try_element_at("captured", F.lit(n)) for n in ("short", "long", "cmd", "path")])
-    return det.detect_pattern(_logs(spark, d), RULES).select(
+    return hits.select(
         "job_id", "rule_path", "rule_id", "line_no", "pattern_idx", value.alias("captured_value"),
         F.try_element_at("captured", F.lit("src_ip")).alias("src_ip"),
     )
 
 
+@query("pattern_matches", _PATTERN_SQL)
+def pattern_matches(spark, d):
+    return _pattern_columns(det.detect_pattern(_logs(spark, d), RULES))
+
+
+@query("pattern_matches_indexed", _PATTERN_SQL)
+def pattern_matches_indexed(spark, d):
+    """The same from a stored table, of which only the files are opened that the trigrams allow."""
+    _lines(spark, d)
+    folder = f"{shared_folder(spark)}/vigilog-indexed-{uuid.uuid4().hex}"
+    write_logs(_logs(spark, d), f"{folder}/logs")
+    lix.build_index(spark, f"{folder}/logs", f"{folder}/index")
+    return _pattern_columns(lix.search_table(spark, f"{folder}/logs", f"{folder}/index", RULES, types=("pattern",)))
+
+
 DOC_LINES = """ln AS (
   SELECT '/docs/' || "source" || '/' || doc_id || '.txt' AS source_file,
          unnest(string_split(text, chr(10))) AS value,

@@ -39,6 +39,11 @@ def _opened(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
+def escaped(path: str) -> str:
+    """A file's name as a pattern that only it matches."""
+    return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
+
+
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, uri, length) of all files, spread over tasks; contents are not read.
 
@@ -46,7 +51,7 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     ship_code(spark)
     if not isinstance(path, str):
-        path = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", name) for name in path]
+        path = [escaped(name) for name in path]
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     except AnalysisException as problem:
