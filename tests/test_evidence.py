@@ -166,12 +166,18 @@ def test_time_window_and_cap(spark, make_logs):
     assert tml.filter_window(logs, 3, datetime(1970, 1, 1, 9)).count() == 4
     df = spark.range(20000).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source_file"), F.col("id").alias("line_no"))
-    for which, n in (("last", 1), ("last", 5000), ("first", 4096), ("first", 7000)):
+    df = df.withColumn("value", F.lit("v" * 50)).unionByName(spark.sql(
+        "SELECT 'c' source_file, 70000 * id + 5 line_no, 'x' value FROM range(30)"))
+    for which, n in (("last", 1), ("last", 5000), ("first", 4096), ("first", 7000), ("last", 13333), ("first", 13334)):
         rows = tml.cap_per_source(df, n, which).collect()
         for source in "ab":
             every = [i for i in range(20000) if (i % 3 == 0) == (source == "a")]
             expected = every[-n:] if which == "last" else every[:n]
             assert sorted(r.line_no for r in rows if r.source_file == source) == expected
+        expected = [70000 * i + 5 for i in range(30)]
+        assert sorted(r.line_no for r in rows if r.source_file == "c") == (expected[-n:] if which == "last" else expected[:n])
+    plan = tml.cap_per_source(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any("value" in line for line in plan.splitlines() if "Exchange" in line)
 
 
 def test_dedupe(make_logs, spark):

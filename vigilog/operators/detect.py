@@ -223,11 +223,13 @@ def _fired(keyed: DataFrame, keys: tuple) -> DataFrame:
         F.expr(within.format(parts=PARTS, cells="(_w + 1) div _width")).alias("_sure"),
         F.expr(within.format(parts=PARTS, cells="(_w + _width - 1) div _width + 1")).alias("_open"),
     ).filter("_open")
-    sure = judged.filter("_sure").select(*group, "key").distinct()
-    pairs = (
-        judged.filter("NOT _sure").join(sure, group, "left_anti")
-        .select(*group, F.col("_bucket").alias("_pair"), F.explode(F.array("_bucket", F.col("_bucket") - 1)).alias("_bucket"))
-    )
+    # A row per key that fires, and one per bucket that is open; few, and asked three times.
+    judged = stored(judged.select(*group, "key", "_sure", F.when(~F.col("_sure"), F.col("_bucket")).alias("_pair")).distinct())
+    sure = judged.filter("_sure").select(*group, "key")
+    left = judged.filter("NOT _sure").join(sure, group, "left_anti")
+    if left.isEmpty():
+        return sure
+    pairs = left.select(*group, "_pair", F.explode(F.array("_pair", F.col("_pair") - 1)).alias("_bucket"))
     straddling = (
         dated.join(pairs, [*group, "_bucket"])
         .groupBy(*group, "key", "_n", "_w", "_pair")

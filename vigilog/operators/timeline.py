@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import lookups as L
 from vigilog.functions.text import base_name, iso_time, lookup
+from vigilog.session import stored
 
-CAP_BLOCK = 4096
+#: Lines in a block of a source, as many as Spark's bitmaps have bits.
+CAP_BLOCK = 32_768
+#: Cuts that are broadcast at most, a path and a number each.
+MOST_CUTS = 200_000
 
 
 def _order(compat: bool = False) -> list:
@@ -105,45 +109,57 @@ def cap_per_source(
     df: DataFrame, n: int = L.MAX_LINES_PER_SOURCE, which: str = "last",
     source: str = "source_file",
 ) -> DataFrame:
-    """The last (or first) n lines of each source.
+    """The last (or first) n line numbers of each source; rows that repeat a number stay together.
 
-    Lines are counted per block of line numbers first, a count that combines before the shuffle.
-    Whole blocks are then kept or dropped, and only the block holding the cut, at most
-    ``CAP_BLOCK`` lines, is ranked. No task holds a source, however large one is.
+    Only numbers are shuffled: each block of them is a bitmap, a bit per line, that combines before
+    the shuffle. Sources with more than n lines get the number of their cut, and the rows are
+    filtered by it where they are. The cuts are broadcast if there are at most ``MOST_CUTS`` of them;
+    beyond that Spark joins as it sees fit.
     """
     if which not in ("first", "last"):
         raise ValueError("which is 'first' or 'last'")
+    cuts = stored(source_cuts(df, n, which, source))
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_CUTS else cuts
+    outside = F.col("line_no") < F.col("_cut") if which == "last" else F.col("line_no") > F.col("_cut")
+    rows = df.join(cuts.withColumnRenamed(source, "_of"), F.col(source).eqNullSafe(F.col("_of")), "left")
+    return rows.filter(~F.coalesce(outside, F.lit(False))).select(*df.columns)
+
+
+def source_cuts(df: DataFrame, n: int, which: str = "last", source: str = "source_file") -> DataFrame:
+    """(source, _cut): the outermost line number that stays, of each source with more than n of them."""
     nearest = F.desc if which == "last" else F.asc
     blocks = (
-        df.withColumn("_block", F.expr(f"line_no div {CAP_BLOCK}"))
-        .groupBy(source, "_block").agg(F.count("*").alias("_size"))
+        df.filter("line_no IS NOT NULL")
+        .groupBy(source, F.expr(f"line_no div {CAP_BLOCK}").alias("_block"))
+        .agg(F.bitmap_construct_agg(F.expr(f"line_no % {CAP_BLOCK}")).alias("_lines"))
+        .withColumn("_size", F.bitmap_count("_lines"))
     )
     before = Window.partitionBy(source).orderBy(nearest("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = (
-        blocks.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .filter(F.col("_before") < n)
-        .select(
-            source, "_block",
-            F.when(F.col("_before") + F.col("_size") > n, n - F.col("_before")).alias("_quota"),
-        )
-    )
-    # One row per source: the block of the cut, and how many of its lines stay if not all do.
-    furthest = F.min if which == "last" else F.max
-    edges = kept.groupBy(source).agg(
-        furthest("_block").alias("_edge"), F.max("_quota").alias("_quota")
-    )
-    rows = df.withColumn("_block", F.expr(f"line_no div {CAP_BLOCK}")).join(edges, source)
-    at_edge = F.col("_block") == F.col("_edge")
-    inside = F.col("_block") > F.col("_edge") if which == "last" else F.col("_block") < F.col("_edge")
-    whole = rows.filter(inside | (at_edge & F.col("_quota").isNull()))
-    rank = Window.partitionBy(source, "_block").orderBy(nearest("line_no"))
-    cut = (
-        rows.filter(at_edge & F.col("_quota").isNotNull())
-        .withColumn("_rank", F.row_number().over(rank))
-        .filter(F.col("_rank") <= F.col("_quota"))
-        .drop("_rank")
-    )
-    return whole.unionByName(cut).select(*df.columns)
+    # The block of the cut: so many of its lines stay, and not all.
+    edges = blocks.select(
+        source, "_block", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(source)).alias("_all"), "_lines",
+    ).filter((F.col("_all") > n) & (F.col("_before") < n) & (F.col("_before") + F.col("_size") >= n))
+    nth = F.lit(n) - F.col("_before") if which == "first" else F.col("_size") - (n - F.col("_before")) + 1
+    return edges.select(source, (F.col("_block") * CAP_BLOCK + _nth_bit(F.col("_lines"), nth)).alias("_cut"))
+
+
+def _nth_bit(bits: Column, nth: Column) -> Column:
+    """Position of the nth bit set in a bitmap."""
+    def byte(i):
+        return F.conv(F.hex(F.substr(bits, i + 1, F.lit(1))), 16, 10).cast("int")
+
+    state = "struct<left:bigint,at:int>"
+    start = F.struct(nth.cast("bigint").alias("left"), F.lit(-1).alias("at")).cast(state)
+
+    def step(s, i):
+        here = F.bit_count(byte(i))
+        return F.when((s["at"] >= 0), s).when(s["left"] > here, F.struct((s["left"] - here).alias("left"), s["at"].alias("at"))).otherwise(
+            F.struct(s["left"].alias("left"), i.alias("at"))).cast(state)
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(CAP_BLOCK // 8 - 1)), start, step)
+    ones = lambda f: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: byte(f["at"]).bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    return F.transform(F.array(found), lambda f: f["at"] * 8 + F.element_at(ones(f), f["left"].cast("int")))[0].cast("bigint")
 
 
 def dedupe(logs: DataFrame) -> DataFrame:
