@@ -168,14 +168,15 @@ def dedupe(logs: DataFrame) -> DataFrame:
     Entries alike in second, host, service, process and message are copies if they stand in different
     sources. The source that has most of them keeps all of its own, and the others lose theirs; a
     journal goes before log files, then the first name. Entries are told apart by a 128-bit hash,
-    and only hashes and counts are grouped. Undated rows are all kept: nothing tells a copy from
-    another event.
+    and only hashes and counts are grouped. Undated rows are all kept and take no part: nothing tells a
+    copy from another event. Copies on either side of a full second are two entries.
     """
     same = F.md5(F.to_json(F.struct(
         F.date_trunc("second", "ts").alias("s"), "hostname", "service", "pid", "message")))
-    keyed = logs.withColumn("_key", F.when(F.col("ts").isNotNull(), same))
-    counts = keyed.filter("_key IS NOT NULL").groupBy("job_id", "_key", "source_file").agg(
+    keyed = logs.filter("ts IS NOT NULL").withColumn("_key", same)
+    counts = keyed.groupBy("job_id", "_key", "source_file").agg(
         F.count("*").alias("n"), F.min(F.when(F.col("format") == "journal", 0).otherwise(1)).alias("kind"))
     place = F.row_number().over(Window.partitionBy("job_id", "_key").orderBy(F.desc("n"), "kind", "source_file"))
     lost = counts.withColumn("place", place).filter("place > 1").select("job_id", "_key", "source_file")
-    return keyed.join(lost, ["job_id", "_key", "source_file"], "left_anti").select(*logs.columns)
+    kept = keyed.join(lost, ["job_id", "_key", "source_file"], "left_anti").select(*logs.columns)
+    return kept.unionByName(logs.filter("ts IS NULL"))

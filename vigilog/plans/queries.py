@@ -235,6 +235,37 @@ def detect_format(spark, d):
     return nrm.detect_format(_lines(spark, d).drop("format"))
 
 
+#: Name and first lines of a file, by the customer's number, and the format that they mean.
+SAMPLES = (
+    ("auth", "Apr  3 08:01:12 h1 sshd[12]: Failed password", "syslog"),
+    ("site_access", "anything at all", "access"),
+    ("nginx_error", "[Mon Apr 13 14:30:00 2026] [error] no such file", "error"),
+    ("db_error", "Apr  3 08:01:12 h1 db: stopped", "syslog"),
+    ("trail", "type=USER_AUTH msg=audit(1744531200.123:42): pid=77", "audit"),
+    ("dump", '\n\n  {"ts_epoch": 1, "source_file": "x"}', "entry_jsonl"),
+    ("journal_x.json.gz", "not even JSON", "journal"),
+    ("export", '{"__REALTIME_TIMESTAMP": "1"}\n{}', "journal"),
+    ("app", "2026-04-13T14:30:00Z ERROR disk full", "generic"),
+    ("notes", "to do\nApr  3 08:01:12 h1 sshd[12]: later lines do not count", "generic"),
+    ("access_error", "type=X msg=audit(1.1:1): names come first", "access"),
+    ("httpd_error", '{"ts_epoch": 1, "source_file": "content comes first"}', "entry_jsonl"),
+)
+
+
+@query("detect_all_formats", "SELECT '/logs/' || c_custkey || '/' || CASE c_custkey % 12 "
+       + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _, _) in enumerate(SAMPLES)) + " END AS source_file, CASE c_custkey % 12 "
+       + " ".join(f"WHEN {i} THEN '{fmt}'" for i, (_, _, fmt) in enumerate(SAMPLES)) + " END AS format FROM customer")
+def detect_all_formats(spark, d):
+    """A file per customer, of every kind that detection tells apart."""
+    configure(spark)
+    kinds = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(head).alias("head")) for name, head, _ in SAMPLES])
+    kind = F.element_at(kinds, (F.col("c_custkey") % len(SAMPLES) + 1).cast("int"))
+    files = A.read(spark, d, "customer").select(
+        F.concat(F.lit("/logs/"), "c_custkey", F.lit("/"), kind["name"]).alias("source_file"),
+        F.posexplode(F.split(kind["head"], "\n")).alias("line_no", "value"))
+    return nrm.detect_format(files.withColumn("line_no", F.col("line_no").cast("bigint")))
+
+
 def _table_lines(df: DataFrame, key, value, name: str, fmt: str) -> DataFrame:
     return df.select(
         F.lit("20240131_000000_db").alias("job_id"), F.lit("db").alias("host"),
@@ -645,6 +676,25 @@ def threshold_matches(spark, d):
     return rows.select("job_id", "rule_path", "line_no", F.try_element_at("captured", F.lit("src_ip")).alias("src_ip"))
 
 
+@query("threshold_keys", f"""WITH {EVENTS}, keyed AS (
+  SELECT job_id, 'page' AS rule_path, CASE WHEN event_type = 'view' THEN k END AS key, ts, 2 AS n, 7200 AS w
+  FROM logs WHERE event_type IN ('view', 'click')
+  UNION ALL SELECT job_id, 'nobody', 'unknown', ts, 4, 14400 FROM logs WHERE status = '401'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id, rule_path, key ORDER BY ts) AS place FROM keyed)
+  SELECT DISTINCT a.job_id, a.rule_path, a.key FROM placed a JOIN placed b
+  ON a.job_id = b.job_id AND a.rule_path = b.rule_path AND a.key IS NOT DISTINCT FROM b.key AND b.place = a.place + a.n - 1
+  WHERE epoch(b.ts) - epoch(a.ts) <= a.w""")
+def threshold_keys(spark, d):
+    """Keys of groups that took no part (NULL) and of groups that the rule does not have ('unknown')."""
+    rules = RuleSet.from_dicts({
+        "page": _rule("KEY-1", "low", "low", "nginx", _patterns(
+            r'"GET /(?:view/(?P<page>\d+) |click)', type="threshold", aggregation={"field": "page", "count": 2, "window_sec": 7200})),
+        "nobody": _rule("KEY-2", "low", "low", "nginx", _patterns(
+            '" 401 ', type="threshold", aggregation={"field": "nobody", "count": 4, "window_sec": 14400}))})
+    return det.fired_keys(stored(det.search_rules(_logs(spark, d), rules)), rules).select("job_id", "rule_path", "key")
+
+
 @query("sequence_pairs", f"""WITH {MATCHES} SELECT job_id, 'auth/then_purchase.yaml' AS rule_path,
   count(*) AS pairs FROM pair_count GROUP BY job_id""")
 def sequence_pairs(spark, d):
@@ -914,6 +964,48 @@ def coverage_gaps(spark, d):
     return cov.coverage_gaps(cov.coverage(_inventories(spark, d), _rule_paths(spark)))
 
 
+OWN_RULES = RuleSet.from_dicts({path: _rule(path, "low", "low", service, _patterns("x", type="pattern"), enabled=path != "own/off.yaml")
+    for path, service in {
+        "own/all.yaml": "*", "own/app.yaml": "custom", "own/off.yaml": "docker", "own/proxy.yaml": "HAProxy",
+        "own/shell.yaml": "ssh", "services/nginx.yaml": "nginx", "own/web.yaml": "ngin"}.items()})
+BY_RULES = f"""{INVENTORY}, {EXPECTED}, own_rules(pos, path, field) AS (VALUES
+  (1, 'own/app.yaml', 'custom'), (2, 'own/proxy.yaml', 'haproxy'), (3, 'own/shell.yaml', 'ssh'),
+  (4, 'services/nginx.yaml', 'nginx'), (5, 'own/web.yaml', 'ngin')),
+matched AS (
+  SELECT unit, e.service, e.rules, e.missing, coalesce(list(path ORDER BY pos) FILTER (path IS NOT NULL), []) AS own
+  FROM expected e LEFT JOIN own_rules ON contains(e.service, field) GROUP BY unit, e.service, e.rules, e.missing),
+report AS (
+  SELECT job_id, service, list_concat(rules, list_filter(own, lambda x: NOT list_contains(rules, x))) AS rules,
+    CASE WHEN len(own) = 0 THEN missing ELSE [] END AS missing FROM seen JOIN matched USING (unit))"""
+
+
+def _coverage_by_rules(spark, d) -> DataFrame:
+    return cov.coverage(_inventories(spark, d), _rule_paths(spark), OWN_RULES)
+
+
+@query("coverage_by_rules", f"""WITH {BY_RULES} SELECT job_id, service, array_to_string(rules, ',') AS rules,
+  array_to_string(missing, ',') AS missing_rule_files, len(rules) > 0 AS covered FROM report""")
+def coverage_by_rules(spark, d):
+    return _coverage_by_rules(spark, d).select(
+        "job_id", "service", F.array_join("rules", ",").alias("rules"),
+        F.array_join("missing_rule_files", ",").alias("missing_rule_files"), "covered",
+    )
+
+
+@query("coverage_summary_by_rules", f"""WITH {BY_RULES} SELECT job_id, count(*) FILTER (len(rules) > 0) AS services_with_rules,
+  count(*) FILTER (len(rules) = 0) AS services_without_rules, CAST(sum(len(rules)) AS BIGINT) AS total_applicable_rules
+  FROM report GROUP BY job_id""")
+def coverage_summary_by_rules(spark, d):
+    return cov.coverage_summary(_coverage_by_rules(spark, d))
+
+
+@query("coverage_gaps_by_rules", f"""WITH {BY_RULES} SELECT job_id, service,
+  'SVC-' || replace(left(upper(service), 20), '-', '_') || '-001' AS proposed_rule_id,
+  'services/' || service || '.yaml' AS proposed_path FROM report WHERE len(rules) = 0""")
+def coverage_gaps_by_rules(spark, d):
+    return cov.coverage_gaps(_coverage_by_rules(spark, d))
+
+
 # --------------------------------------------------------------------------- integrity
 
 ARTIFACTS = """art AS (
@@ -1049,7 +1141,8 @@ def _acquisition(spark, d) -> DataFrame:
         F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"),
         end.alias("end"),
         F.array_repeat(F.lit("c"), (F.col("o_custkey") % 5).cast("int")).alias("commands"),
-        F.lit(None).cast("array<string>").alias("artifacts"), errors.alias("errors"),
+        F.when(F.col("o_orderstatus") != "O", F.array_repeat(F.lit("a"), (F.col("o_custkey") % 4).cast("int"))).alias("artifacts"),
+        errors.alias("errors"),
         (F.col("o_orderstatus") == "F").alias("connection_closed"),
     )
 
@@ -1058,7 +1151,7 @@ def _acquisition(spark, d) -> DataFrame:
   strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS start,
   CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate + to_seconds(o_orderkey % 5000), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS "end",
   CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE ((o_orderkey % 5000) // 60) || 'm ' || ((o_orderkey % 5000) % 60) || 's' END AS duration,
-  o_custkey % 5 AS commands_logged, CAST(0 AS BIGINT) AS artifacts_acquired, o_custkey % 3 + 1 AS errors,
+  o_custkey % 5 AS commands_logged, CASE WHEN o_orderstatus <> 'O' THEN o_custkey % 4 ELSE 0 END AS artifacts_acquired, o_custkey % 3 + 1 AS errors,
   o_orderstatus = 'F' AS connection_closed FROM orders""")
 def acquisition_summary(spark, d):
     return summary.acquisition_summary(_acquisition(spark, d))
