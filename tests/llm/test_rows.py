@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 import oracle
 import pytest
-from conftest import LONG, ODD
+from conftest import CLASHES, LONG, ODD
+from pyspark.sql import functions as F
 
 from vigilog.llm import decontaminate, language, mixing, queries, secrets, tokens, urls, warc
 from vigilog.llm.common import Scratch
@@ -224,6 +225,35 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.read_bundles(warc.write_bundles(spark.createDataFrame([], pages.schema), Scratch(spark, "warc").root)).collect() == []
 
 
+def test_warc_of_repeated_rows(spark):
+    """One response per payload, whatever repeats, and an id for every record."""
+    rows = [(1, "u", "same")] * 3 + [(2, "u", "same"), (2, "v", "same"), (None, "a", "same"), (None, "a", "same")]
+    rows += [(5, None, "x"), (5, "", "x"), (5, "z", "x"), (7, "q", None), (7, "q", ""), (8, "only", "one")]
+    rows += [(None, None, "nothing")] * 400
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    pages = pages.withColumns({c: F.lit("x") for c in CLASHES if c != "row"})
+    scratch = Scratch(spark, "warc")
+    index = warc.write_bundles(pages, scratch.root, scratch=scratch)
+    got = warc.read_bundles(index).collect()
+    want = []
+    for payload in {h or "" for _, _, h in rows}:
+        alike = sorted(((i is None, i or 0, u or "") for i, u, h in rows if (h or "") == payload))
+        first = None if alike[0][0] else alike[0][1]
+        want += [(None if none else i, len(payload), "revisit" if k else "response", first if k else None) for k, (none, i, _) in enumerate(alike)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    assert len({r.record_id for r in got}) == len(rows) == index.count()
+    assert {r.page_id for r in got if r.record_type == "response" and r.payload_bytes == 4} == {1}
+
+
+def test_warc_is_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 300)
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 30) for i in range(200)], "page_id bigint, url string, html string")
+    index = warc.write_bundles(pages.repartition(12), Scratch(spark, "warc").root)
+    read = warc.read_bundles(index)
+    assert read.groupBy(F.spark_partition_id()).count().count() > 2 and read.count() == 200
+
+
 # --------------------------------------------------------------------------- language
 
 

@@ -31,9 +31,13 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable for
 INDEX = "record_id string, page_id bigint, bundle string, frame int, frame_offset bigint, frame_bytes bigint, record_offset bigint, record_bytes bigint"
 
 
-def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> tuple[str, bytes]:
-    """(record id, bytes) of one WARC/1.1 record. A revisit repeats the digest, not the payload."""
-    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{url}:{digest}')}>"
+def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, copy: int = 1) -> tuple[str, bytes]:
+    """(record id, bytes) of one WARC/1.1 record. A revisit repeats the digest, not the payload.
+
+    Rows that repeat have records of their own, told apart by the number of the ``copy``.
+    """
+    again = f":{copy}" if copy > 1 else ""
+    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{url}:{digest}{again}')}>"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {DATE}",
              f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}",
              f"X-Payload-Length: {len(payload)}"]
@@ -129,25 +133,36 @@ def write_bundles(pages: DataFrame, folder: str, smallest_revisit: int = SMALLES
 
     Of rows with equal payloads of at least ``smallest_revisit`` bytes, the one with the smallest
     page_id is the response and the others revisit it. A NULL html is empty. A NULL page_id comes
-    after all others; where the same page_id repeats, one row of the group is the response (ties
-    fall to the url). A task writes bundles under names of its own attempt; only those that the index
+    after all others; where the same page_id repeats, the row with the smallest url is the response, and
+    of rows that repeat altogether one; each has a record and an id of its own. A task writes bundles under names of its own attempt; only those that the index
     names count, so a lost or repeated task leaves no wrong record. Empty tables give no bundle.
     """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     keyed = pages.select(
         "page_id", "url", payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("same"),
-        F.octet_length(payload).cast("bigint").alias("n"), F.xxhash64("page_id", "url").alias("tie"))
+        F.octet_length(payload).cast("bigint").alias("n"))
+    # Names the row's contents; a NULL url and an empty one are written alike.
+    keyed = keyed.withColumn("row", F.unhex(F.sha2(F.to_json(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"), F.hex("same").alias("same"))), 256)))
+    scratch = scratch or Scratch(spark, "warc")
     # One small row per payload; minima are taken before the shuffle.
     first = keyed.groupBy("same").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))).alias("first"))
     first = first.select("same", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    # Written, so that the join below is free to split the rows of a payload that many pages share.
-    first = (scratch or Scratch(spark, "warc")).keep(first, "first")
-    joined = keyed.select("page_id", "url", "payload", "n", "same").join(first, "same", "left")
-    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.coalesce("url", F.lit("")).eqNullSafe(F.col("first_url"))
+    # Written, so that the joins below are free to split the rows of a payload that many pages share.
+    first = scratch.keep(first, "first")
+    # Rows that repeat are taken once, with their number, which combines before the shuffle.
+    repeated = scratch.keep(keyed.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeated")
+    once = keyed.join(repeated, "row", "left_anti").withColumn("copy", F.lit(1).cast("bigint"))
+    if not repeated.isEmpty():
+        again = keyed.join(repeated.select("row"), "row", "left_semi").groupBy("row").agg(
+            *[F.first(c).alias(c) for c in ("page_id", "url", "payload", "same", "n")])
+        again = again.join(repeated, "row").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+        once = once.unionByName(again.drop("copies"))
+    joined = once.join(first, "same", "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.coalesce("url", F.lit("")).eqNullSafe(F.col("first_url")) & (F.col("copy") == 1)
     rows = joined.select(
-        "page_id", "url", "payload", (~is_first & (F.col("n") >= smallest_revisit)).alias("revisit"), "first_id")
+        "page_id", "url", "payload", (~is_first & (F.col("n") >= smallest_revisit)).alias("revisit"), "first_id", "copy")
 
     def write(batches):
         bundle = Bundle()
@@ -162,10 +177,11 @@ def write_bundles(pages: DataFrame, folder: str, smallest_revisit: int = SMALLES
             ).astype({"page_id": "Int64"})
 
         for batch in batches:
-            for page, url, payload, revisit, first_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "revisit", "first_id")), strict=True):
+            for page, url, payload, revisit, first_id, copy in zip(*(
+                    batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "revisit", "first_id", "copy")), strict=True):
                 data = payload.encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
-                rid, made = record(page, url, data, digest, "revisit" if revisit else "response", first_id)
+                rid, made = record(page, url, data, digest, "revisit" if revisit else "response", first_id, copy)
                 bundle.add(rid, page, made)
                 if bundle.size >= BUNDLE_BYTES:
                     yield close()
@@ -229,7 +245,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return bundles.repartition(tasks, "bundle").mapInArrow(read, schema)
+    # By a hash of the name, so that the names, a tiny table, are not put together again.
+    return bundles.repartition(tasks, F.xxhash64("bundle")).mapInArrow(read, schema)
 
 
 def query(spark, folder: str) -> DataFrame:
