@@ -60,3 +60,17 @@ def test_default_search_finds_all_that_message_search_finds(spark, make_logs):
     keys = lambda df: {(r.rule_path, r.line_no) for r in df.collect()}
     message, default = keys(search_rules(logs, rules, match_on="message")), keys(search_rules(logs, rules))
     assert message and message < default
+    # All literals in one pass, or each by itself: the same hits.
+    assert default == keys(search_rules(logs, rules, one_pass=False)) == keys(search_rules(logs, rules, use_prefilter=False))
+
+
+def test_literals_are_found_in_one_pass(spark):
+    from vigilog.functions import literals
+
+    words = tuple(sorted({"a", "ab", "abc", "bc", "é", "漢", "'\\"} | {f"w{i}x" for i in range(150)}))
+    texts = [None, "", "abc", "xab", "É é", "漢w7x", "w149xw0xw62x", "it's '\\", "w1 x", "😀 bc \0 w61x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("held", literals.held(F.col("t"), words))
+    numbers = {w: i for i, w in enumerate(words)}
+    for clause in [("abc",), ("é", "漢"), ("w61x", "w62x", "w149x"), ("'\\",), ("w1x",)]:
+        got = df.select("t", F.expr(literals.holds_any("held", numbers, clause)).alias("any")).collect()
+        assert [r["any"] for r in got] == [any(w in (r.t or "") for w in clause) for r in got]

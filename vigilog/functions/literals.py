@@ -7,8 +7,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigilog.functions.regex import sql_string
-
 try:
     import ahocorasick
 except ImportError:  # each literal is then searched by itself
@@ -54,14 +52,10 @@ def held(text: Column, literals: tuple) -> Column:
     return find(text)
 
 
-def holds_any(column: str, literals: tuple, clause: tuple) -> str:
-    """SQL: the text whose ``held`` is in a column holds any of the clause's literals."""
+def holds_any(column: str, numbers: dict, clause: tuple) -> str:
+    """SQL: the text whose ``held`` is in a column holds any of the clause's literals, given their numbers."""
     masks: dict[int, int] = {}
     for literal in clause:
-        i = literals.index(literal)
+        i = numbers[literal]
         masks[i // WORD] = masks.get(i // WORD, 0) | 1 << i % WORD
     return "(" + " OR ".join(f"({column}.w{word} & {mask}L) != 0" for word, mask in sorted(masks.items())) + ")"
-
-
-def contains_any(lowered: str, clause: tuple) -> str:
-    return "(" + " OR ".join(f"contains({lowered}, {sql_string(lit)})" for lit in clause) + ")"

@@ -206,10 +206,18 @@ def contains_any(lowered: str, clause: tuple) -> str:
     return "(" + " OR ".join(f"contains({lowered}, {sql_string(lit)})" for lit in clause) + ")"
 
 
-def prefilter(lowered: str, pattern: Pattern, shared: dict) -> str:
-    """SQL: conditions every match meets. Those held in a column come first, they cost nothing."""
+def gates(pattern: Pattern) -> tuple:
+    """The clauses that are tested before a pattern."""
+    return pattern.required[:MAX_CLAUSES]
+
+
+def prefilter(lowered: str, pattern: Pattern, shared: dict, any_of=contains_any) -> str:
+    """SQL: conditions every match meets. Those held in a column come first, they cost nothing.
+
+    ``any_of(lowered, clause)`` says in SQL that a clause holds.
+    """
     tests = [shared[c] for c in pattern.required if c in shared]
-    tests += [contains_any(lowered, c) for c in pattern.required[:MAX_CLAUSES] if c not in shared]
+    tests += [any_of(lowered, c) for c in gates(pattern) if c not in shared]
     if pattern.min_length >= WIDTH_TEST:
         tests.append(f"char_length({lowered}) >= {pattern.min_length}")
     return " AND ".join(tests) or "true"

@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilog.functions import literals
 from vigilog.functions import lookups as L
 from vigilog.functions import regex as R
 from vigilog.functions.regex import sql_string
-from vigilog.session import stored
+from vigilog.session import ship_code, stored
 from vigilog.sources.rules import MAX_RULES, Rule, RuleSet
 
 MICROS = 1_000_000
 UNKNOWN_KEY = "unknown"
 CELLS = 1024  # parts of one window length, so that no task owns a whole crowded window
+FEW_LITERALS = 48  # so many are searched one by one
 PARTS = 32  # cells of a threshold's window, and of a bucket of it
 SALTS = 16  # parts of a key's hits where they meet the row that says the key fired
 
@@ -65,6 +67,7 @@ def search_rules(
     compat: bool = False,
     match_on: str | None = None,
     use_prefilter: bool = True,
+    one_pass: bool = True,
 ) -> DataFrame:
     """One row per (entry, rule) hit; for sequence rules one per (entry, step) hit.
 
@@ -72,6 +75,8 @@ def search_rules(
     overridden by the entry's own extracted fields except in sequences. Each pattern is tried on the
     message. With ``match_on='raw'``, the default outside ``compat``, it is then tried on the whole line
     of access logs, whose message lacks the address, referer and user agent; 'message' does not.
+    Required literals are found first: all in one pass over a line, by a function in Arrow batches,
+    or, without ``one_pass`` or with few of them, each by Spark itself.
     """
     match_on = match_on or ("message" if compat else "raw")
     active = rules.active(*types)
@@ -80,12 +85,20 @@ def search_rules(
         "*", F.expr(R.prefilter_text("_both")).alias("_low"), F.lower("service").alias("_service")
     )
     whole = match_on == "raw"
-    shared = {}
+    shared, any_of = {}, R.contains_any
     if use_prefilter:
-        shared = R.shared_clauses(p for rule in active for p in (*rule.patterns, *rule.used_steps(compat)))
-        tests = [F.expr(R.contains_any("_low", c)).alias(name) for c, name in shared.items()]
-        prepared = prepared.select("*", *tests)
-    hits = [hit for rule in active for hit in _hits_sql(rule, compat, use_prefilter, shared, whole)]
+        searched = [p for rule in active for p in (*rule.patterns, *rule.used_steps(compat))]
+        words = tuple(sorted({word for p in searched for clause in R.gates(p) for word in clause}))
+        if one_pass and literals.ahocorasick and len(words) >= FEW_LITERALS:
+            ship_code(logs.sparkSession)
+            prepared = prepared.withColumn("_held", literals.held(F.col("_low"), words))
+            numbers = {word: i for i, word in enumerate(words)}
+            any_of = lambda _, clause: literals.holds_any("_held", numbers, clause)
+        else:
+            shared = R.shared_clauses(searched)
+            tests = [F.expr(R.contains_any("_low", c)).alias(name) for c, name in shared.items()]
+            prepared = prepared.select("*", *tests)
+    hits = [hit for rule in active for hit in _hits_sql(rule, compat, use_prefilter, shared, whole, any_of)]
     if not hits:
         hits = [_hit_struct("", "", "", 0, "CAST(map() AS map<string,string>)", "false")]
     # One column per rule, gathered in a step of its own: Spark compiles a wide projection in small
@@ -113,7 +126,7 @@ def search_rules(
     )
 
 
-def _hits_sql(rule: Rule, compat: bool, use_prefilter: bool, shared: dict, whole: bool) -> list[str]:
+def _hits_sql(rule: Rule, compat: bool, use_prefilter: bool, shared: dict, whole: bool, any_of) -> list[str]:
     scoped = _scope_sql(rule, compat)
 
     def branch(i, pattern):
@@ -122,7 +135,7 @@ def _hits_sql(rule: Rule, compat: bool, use_prefilter: bool, shared: dict, whole
             captured = f"CASE WHEN {found} THEN {captured} ELSE {R.capture('_line', pattern)} END"
             found = f"({found} OR (_line IS NOT NULL AND {R.search('_line', pattern)}))"
         if use_prefilter:
-            found = f"{R.prefilter('_low', pattern, shared)} AND {found}"
+            found = f"{R.prefilter('_low', pattern, shared, any_of)} AND {found}"
         return found, (rule.path, rule.id, rule.type, i, captured)
 
     if rule.type == "sequence":
