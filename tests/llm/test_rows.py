@@ -78,6 +78,52 @@ def test_trust_and_distrust_spread(spark):
     assert urls.judge(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+def _link_page(*hosts):
+    return "".join(f'<a href="https://{h}/">x</a>' for h in hosts)
+
+
+def test_distrust_does_not_fall_with_a_bad_hosts_popularity(spark):
+    """300 hosts that link to one blocked host alone are all blocked; who links to many others is not."""
+    rows = [(0, "http://bad.net/es/x", "")]
+    rows += [(i, f"http://farm{i}.org/", _link_page("bad.net")) for i in range(1, 301)]
+    rows += [(1000, "http://wide.org/", _link_page("bad.net", *[f"n{i}.org" for i in range(20)]))]
+    rows += [(2000 + i, f"http://chain{i}.org/", _link_page(f"chain{i + 1}.org" if i < 20 else "worse.net")) for i in range(1, 21)]
+    rows += [(3000, "http://worse.net/fr/", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i].verdict for i in range(1, 301)} == {"block"} and abs(got[1].distrust - 1) < 1e-6
+    assert got[1000].verdict == "allow" and 0 < got[1000].distrust < 0.1
+    chain = [got[2000 + i].distrust for i in range(1, 21)]
+    assert chain == sorted(chain) and abs(chain[-1] - 1) < 1e-6 and chain[0] > 0
+    for i in range(1, 21):  # i links from the end: one walk's share of all that comes down the chain
+        want = 0.85 ** i / sum(0.85 ** j for j in range(1, i + 1))
+        assert abs(chain[20 - i] - want) < 0.01
+    assert [got[2000 + i].verdict for i in (20, 19, 18, 1)] == ["block", "block", "block", "allow"]
+
+
+def test_urls_of_made_links_agree_with_sql(spark, tmp_path):
+    import random
+
+    random.seed(6)
+    hosts = [f"h{i}.org" for i in range(30)] + ["good.com", "fine.com", "bad.net", "evil.net", "x.example.com"]
+    rows = []
+    for i in range(200):
+        host, path = random.choice(hosts), random.choice(["/", "/es/a", "/en/b", "/fr/", ""])
+        linked = random.sample(hosts, random.randint(0, 4))
+        if host[1:2] in "123":  # these link to bad hosts, and seldom to others
+            linked = random.sample(["bad.net", "evil.net"], random.randint(0, 2)) + linked[:random.randint(0, 9) // 9]
+        rows.append((i, f"http://{host}{'/es/' if host.endswith('.net') else path}", _link_page(*linked)))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = urls.query(spark, str(tmp_path))
+    assert oracle.compare(got, con, urls.SQL) == ""
+    told = {r.verdict for r in got.filter("rule IS NULL").collect()}
+    assert told == {"allow", "block"}
+
+
 # --------------------------------------------------------------------------- secrets
 
 

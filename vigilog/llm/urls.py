@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,12 @@ RULES = (
 )
 #: Share of a host's rank that goes on to its neighbours.
 DAMPING = 0.85
-ROUNDS = 8
-#: A host is blocked if the distrust that reaches it exceeds the trust that does by this much. A host
-#: whose every page a rule blocks sends out up to (1 - DAMPING) * DAMPING in a round; the measure does
-#: not depend on the number of hosts.
-THRESHOLD = 0.05
+#: The walk ends when no host's ranks change any more by this share of what reaches it from all hosts.
+TOLERANCE = 1e-3
+#: A host is blocked if the distrusted share of what reaches it, less the trusted share, is this much. Both are
+#: shares of the same walk from all hosts, so neither the number of hosts nor that of a bad host's
+#: neighbours counts. Who links to blocked hosts alone has a share of 1.
+THRESHOLD = 0.25
 LINK = r"""(?i)<a\x20[^>]*?href\x20*=\x20*["']?(?:https?:)?//([^\x20\x09-\x0D"'<>/?#]+)"""
 
 
@@ -57,40 +60,51 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def _spread(seeds: DataFrame, edges: DataFrame, frm: str, to: str, damping: float, rounds: int, scratch: Scratch) -> DataFrame:
-    """(host, rank) of the personalised walk along edges frm -> to that restarts at the seeds (host, seed).
+def _spread(hosts: DataFrame, seed: str, edges: DataFrame, frm: str, to: str, damping: float, tolerance: float, scratch: Scratch) -> DataFrame:
+    """(host, from_seeds, from_all): what links frm -> to bring each host in two personalised walks.
 
-    A host without such edges keeps nothing for others. Each round is a written table.
+    One restarts at the hosts in proportion to ``seed``, the other at all hosts alike. What a host
+    starts with itself is not counted. A host without such edges keeps nothing for others. Each round is
+    a written table; every round moves less than ``damping`` of what the one before did, so the
+    walk comes to an end.
     """
     out = edges.groupBy(frm).agg(F.sum("weight").alias("total"))
     shares = scratch.keep(edges.join(out, frm).select(
         F.col(frm).alias("frm"), F.col(to).alias("to"), (F.col("weight") / F.col("total")).alias("share")), "shares")
-    start = seeds.filter("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank = scratch.keep(start, "rank")
-    start = rank
-    if shares.isEmpty():
-        scratch.drop(shares)
-        return rank
-    for i in range(rounds):
-        moved = shares.join(rank.withColumnRenamed("host", "frm"), "frm").select(
-            F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        new = scratch.keep(moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-        if i:
-            scratch.drop(rank)
-        rank = new
-    scratch.drop(shares)
-    return rank
-
-
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+    both = ("from_seeds", "from_all")
+    # Hosts that are only linked to have pages of their own nowhere, but the walk from all begins there too.
+    every = hosts.select("host", F.col(seed).alias("seed")).unionByName(
+        edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.max("seed").alias("seed"))
+    start = scratch.keep(every.select(
+        "host", (F.col("seed") * (1 - damping)).alias("from_seeds"), F.lit(1 - damping).alias("from_all")), "start")
+    came = scratch.keep(start.select("host", *[F.lit(0.0).alias(c) for c in both], F.lit(True).alias("moves")), "rank")
+    moving = not shares.isEmpty()
+    while moving:
+        rank = came.join(start.select("host", *[F.col(c).alias(f"own_{c}") for c in both]), "host").select(
+            F.col("host").alias("frm"), *[(F.col(c) + F.col(f"own_{c}")).alias(c) for c in both])
+        moved = shares.join(rank, "frm").select(F.col("to").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in both])
+        moved = moved.groupBy("host").agg(*[F.sum(c).alias(c) for c in both])
+        was = came.select("host", *[F.col(c).alias(f"was_{c}") for c in both])
+        change = F.greatest(*[F.abs(F.coalesce(c, F.lit(0.0)) - F.col(f"was_{c}")) for c in both])
+        new = scratch.keep(was.join(moved, "host", "left").select(
+            "host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in both], (change > tolerance * F.coalesce("from_all", F.lit(0.0))).alias("moves")), "rank")
+        scratch.drop(came)
+        came = new
+        moving = not came.filter("moves").isEmpty()
+    scratch.drop(shares, start)
+    return came.select("host", *both)
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """Each row of pages (page_id, url, html) with host, path, rule, verdict, trust and distrust.
 
     A rule decides its urls. Other urls go by their host: trust spreads along links from hosts in
     proportion to the share of their pages that a rule allows; distrust spreads against links from
     hosts in proportion to the share that a rule blocks, so that who links to blocked hosts is
-    distrusted. What a host starts with itself does not count for it, only what links bring: that a rule
-    blocks some of its pages says nothing about the others. It is blocked if the distrust that reaches
-    it exceeds the trust that does by ``threshold``.
+    distrusted. Each counts as a share of what the same walk brings the host from all hosts: 1 if
+    it comes from seeds alone, 0 if nothing reaches it. What a host starts with itself does not count,
+    only what links bring: that a rule blocks some of its pages says nothing about the others. It is blocked
+    if its distrust exceeds its trust by ``threshold``.
 
     A NULL url, or one without ``://``, has an empty host and path, and is allowed. A NULL html has
     no links; relative links stay on their host and do not count. Rows that repeat are judged alike.
@@ -103,13 +117,12 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     edges = scratch.keep(host_edges(split), "edges")
     share = lambda v: F.avg(F.when(F.col("own") == v, 1.0).otherwise(0.0))
     hosts = scratch.keep(judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
-    trust = _spread(hosts.select("host", F.col("allowed").alias("seed")), edges, "src", "dst", damping, rounds, scratch)
-    distrust = _spread(hosts.select("host", F.col("blocked").alias("seed")), edges, "dst", "src", damping, rounds, scratch)
-    ranks = hosts.join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(
-        distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-    came = lambda rank, share: (F.coalesce(rank, F.lit(0.0)) - F.col(share) * (1 - damping)).alias(rank)
+    ranks = hosts.select("host")
+    for name, seed, frm, to in (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src")):
+        spread = _spread(hosts, seed, edges, frm, to, damping, tolerance, scratch)
+        ranks = ranks.join(spread.select("host", F.when(F.col("from_all") > 0, F.col("from_seeds") / F.col("from_all")).otherwise(0.0).alias(name)), "host")
     # One row per host, written, so that the join may split a hot host's pages.
-    ranks = scratch.keep(ranks.select("host", came("trust", "allowed"), came("distrust", "blocked")), "ranks")
+    ranks = scratch.keep(ranks, "ranks")
     out = judged.join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     verdict = F.coalesce("own", F.when((F.col("host") != "") & (F.col("distrust") - F.col("trust") >= threshold), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
@@ -125,11 +138,16 @@ def _sql() -> str:
     link = LINK.replace("'", "''")
 
     def walk(name, frm, to, seed):
-        parts = [f"""{name}_share AS (SELECT {frm} AS frm, {to} AS dest, weight / sum(weight) OVER (PARTITION BY {frm}) AS share FROM edges),
-{name}0 AS (SELECT host, {seed} * {1 - DAMPING} AS rank FROM hosts WHERE {seed} > 0)"""]
-        parts += [f"""{name}{i} AS (SELECT host, sum(rank) AS rank FROM (
-  SELECT dest AS host, rank * share * {DAMPING} AS rank FROM {name}_share JOIN {name}{i - 1} ON frm = host
-  UNION ALL SELECT host, rank FROM {name}0) GROUP BY host)""" for i in range(1, ROUNDS + 1)]
+        """The same walk over so many rounds that less than TOLERANCE of it is left."""
+        rounds = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
+        both = lambda what: f"{what.format('seeds')} AS seeds, {what.format('alls')} AS alls"
+        parts = [f"""{name}_share AS MATERIALIZED (SELECT {frm} AS frm, {to} AS dest, weight / sum(weight) OVER (PARTITION BY {frm}) AS share FROM edges),
+{name}_start AS MATERIALIZED (SELECT host, max(seed) * {1 - DAMPING} AS seeds, {1 - DAMPING} AS alls FROM (
+  SELECT host, {seed} AS seed FROM hosts UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY host),
+{name}0 AS (SELECT host, 0.0::DOUBLE AS seeds, 0.0::DOUBLE AS alls FROM {name}_start)"""]
+        parts += [f"""{name}{i} AS (SELECT dest AS host, {both(f"sum((coalesce(r.{{0}}, 0) + s.{{0}}) * share * {DAMPING})")}
+  FROM {name}_share JOIN {name}_start s ON s.host = frm LEFT JOIN {name}{i - 1} r ON r.host = frm GROUP BY dest)""" for i in range(1, rounds + 1)]
+        parts.append(f"{name}_end AS (SELECT host, CASE WHEN alls > 0 THEN seeds / alls ELSE 0 END AS rank FROM {name}{rounds})")
         return ",\n".join(parts)
 
     return f"""
@@ -154,9 +172,8 @@ hosts AS (
 {walk("t", "src", "dst", "allowed")},
 {walk("d", "dst", "src", "blocked")}
 SELECT page_id, j.host, path, rule,
-       coalesce(own, CASE WHEN j.host <> '' AND (coalesce(d.rank, 0) - blocked * {1 - DAMPING}) - (coalesce(t.rank, 0) - allowed * {1 - DAMPING}) >= {THRESHOLD}
-                          THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j JOIN hosts h ON h.host = j.host LEFT JOIN t{ROUNDS} t ON t.host = j.host LEFT JOIN d{ROUNDS} d ON d.host = j.host
+       coalesce(own, CASE WHEN j.host <> '' AND coalesce(d.rank, 0) - coalesce(t.rank, 0) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN t_end t ON t.host = j.host LEFT JOIN d_end d ON d.host = j.host
 """
 
 
