@@ -19,12 +19,11 @@ RULES = (
 )
 #: Share of a host's rank that goes on to its neighbours.
 DAMPING = 0.85
-#: The walk ends when no host's ranks change any more by this share of what reaches it from all hosts.
+#: The walks end when a round changes no host's figure by more than this (of what reaches it from all hosts).
 TOLERANCE = 1e-3
-#: A host is blocked if the distrusted share of what reaches it, less the trusted share, is this much. Both are
-#: shares of the same walk from all hosts, so neither the number of hosts nor that of a bad host's
-#: neighbours counts. Who links to blocked hosts alone has a share of 1.
-THRESHOLD = 0.25
+#: A host is blocked if its distrust exceeds its trust by this much. Both lie between 0 and 1, and depend
+#: neither on the number of hosts nor on how many others link to the same bad host.
+THRESHOLD = 0.5
 LINK = r"""(?i)<a\x20[^>]*?href\x20*=\x20*["']?(?:https?:)?//([^\x20\x09-\x0D"'<>/?#]+)"""
 
 
@@ -60,29 +59,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def _spread(hosts: DataFrame, seed: str, edges: DataFrame, frm: str, to: str, damping: float, tolerance: float, scratch: Scratch) -> DataFrame:
-    """(host, from_seeds, from_all): what links frm -> to bring each host in two personalised walks.
+def _shares(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst, share): the part of a host's links that goes to another."""
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    return scratch.keep(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
 
-    One restarts at the hosts in proportion to ``seed``, the other at all hosts alike. What a host
-    starts with itself is not counted. A host without such edges keeps nothing for others. Each round is
-    a written table; every round moves less than ``damping`` of what the one before did, so the
-    walk comes to an end.
+
+def _trust(hosts: DataFrame, shares: DataFrame, damping: float, tolerance: float, scratch: Scratch) -> DataFrame:
+    """(host, trust): of all that links bring a host in a personalised PageRank, the part from allowed seeds.
+
+    One walk restarts at the hosts in proportion to the share of their pages that a rule allows, the
+    other at all hosts alike. What a host starts with itself is not counted. Each round is a written
+    table and moves less than ``damping`` of what the one before did.
     """
-    out = edges.groupBy(frm).agg(F.sum("weight").alias("total"))
-    shares = scratch.keep(edges.join(out, frm).select(
-        F.col(frm).alias("frm"), F.col(to).alias("to"), (F.col("weight") / F.col("total")).alias("share")), "shares")
     both = ("from_seeds", "from_all")
-    # Hosts that are only linked to have pages of their own nowhere, but the walk from all begins there too.
-    every = hosts.select("host", F.col(seed).alias("seed")).unionByName(
-        edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.max("seed").alias("seed"))
-    start = scratch.keep(every.select(
-        "host", (F.col("seed") * (1 - damping)).alias("from_seeds"), F.lit(1 - damping).alias("from_all")), "start")
+    # Hosts that are only linked to have no pages, but the walk from all begins there too.
+    every = hosts.select("host", "allowed").unionByName(
+        shares.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("allowed")))
+    start = scratch.keep(every.groupBy("host").agg(
+        (F.max("allowed") * (1 - damping)).alias("from_seeds"), F.lit(1 - damping).alias("from_all")), "start")
     came = scratch.keep(start.select("host", *[F.lit(0.0).alias(c) for c in both], F.lit(True).alias("moves")), "rank")
-    moving = not shares.isEmpty()
+    moving = True
     while moving:
         rank = came.join(start.select("host", *[F.col(c).alias(f"own_{c}") for c in both]), "host").select(
-            F.col("host").alias("frm"), *[(F.col(c) + F.col(f"own_{c}")).alias(c) for c in both])
-        moved = shares.join(rank, "frm").select(F.col("to").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in both])
+            F.col("host").alias("src"), *[(F.col(c) + F.col(f"own_{c}")).alias(c) for c in both])
+        moved = shares.join(rank, "src").select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in both])
         moved = moved.groupBy("host").agg(*[F.sum(c).alias(c) for c in both])
         was = came.select("host", *[F.col(c).alias(f"was_{c}") for c in both])
         change = F.greatest(*[F.abs(F.coalesce(c, F.lit(0.0)) - F.col(f"was_{c}")) for c in both])
@@ -91,8 +92,31 @@ def _spread(hosts: DataFrame, seed: str, edges: DataFrame, frm: str, to: str, da
         scratch.drop(came)
         came = new
         moving = not came.filter("moves").isEmpty()
-    scratch.drop(shares, start)
-    return came.select("host", *both)
+    return came.select("host", F.when(F.col("from_all") > 0, F.col("from_seeds") / F.col("from_all")).otherwise(0.0).alias("trust"))
+
+
+def _distrust(hosts: DataFrame, shares: DataFrame, damping: float, tolerance: float, scratch: Scratch) -> DataFrame:
+    """(host, distrust): how likely a walk along its links comes to blocked pages, each further step counting less.
+
+    Distrust goes against links, to each linking host by the part of its own links that lead there:
+    1 for who links to blocked hosts alone, however many do. The walk ends at a blocked page. Each round is
+    a written table and adds less than ``damping`` of what the one before did.
+    """
+    bad = hosts.select(F.col("host").alias("dst"), "blocked")
+    steps = scratch.keep(shares.join(bad, "dst", "left").select(
+        "src", "dst", (F.col("share") * F.coalesce("blocked", F.lit(0.0))).alias("meets"),
+        (F.col("share") * (1 - F.coalesce("blocked", F.lit(0.0))) * damping).alias("goes")), "steps")
+    far = scratch.keep(steps.groupBy("src").agg(F.sum("meets").alias("distrust"), F.lit(True).alias("moves")), "far")
+    moving = True
+    while moving:
+        after = steps.join(far.select(F.col("src").alias("dst"), F.col("distrust").alias("next")), "dst", "left")
+        after = after.groupBy("src").agg(F.sum(F.col("meets") + F.col("goes") * F.coalesce("next", F.lit(0.0))).alias("distrust"))
+        new = scratch.keep(after.join(far.select("src", F.col("distrust").alias("was")), "src").select(
+            "src", "distrust", (F.col("distrust") - F.col("was") > tolerance).alias("moves")), "far")
+        scratch.drop(far)
+        far = new
+        moving = not far.filter("moves").isEmpty()
+    return far.select(F.col("src").alias("host"), "distrust")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,10 +125,9 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: fl
     A rule decides its urls. Other urls go by their host: trust spreads along links from hosts in
     proportion to the share of their pages that a rule allows; distrust spreads against links from
     hosts in proportion to the share that a rule blocks, so that who links to blocked hosts is
-    distrusted. Each counts as a share of what the same walk brings the host from all hosts: 1 if
-    it comes from seeds alone, 0 if nothing reaches it. What a host starts with itself does not count,
-    only what links bring: that a rule blocks some of its pages says nothing about the others. It is blocked
-    if its distrust exceeds its trust by ``threshold``.
+    distrusted. What a host starts with itself does not count, only what links bring: that a rule
+    blocks some of its pages says nothing about the others. It is blocked if its distrust exceeds its
+    trust by ``threshold``.
 
     A NULL url, or one without ``://``, has an empty host and path, and is allowed. A NULL html has
     no links; relative links stay on their host and do not count. Rows that repeat are judged alike.
@@ -117,10 +140,11 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: fl
     edges = scratch.keep(host_edges(split), "edges")
     share = lambda v: F.avg(F.when(F.col("own") == v, 1.0).otherwise(0.0))
     hosts = scratch.keep(judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
-    ranks = hosts.select("host")
-    for name, seed, frm, to in (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src")):
-        spread = _spread(hosts, seed, edges, frm, to, damping, tolerance, scratch)
-        ranks = ranks.join(spread.select("host", F.when(F.col("from_all") > 0, F.col("from_seeds") / F.col("from_all")).otherwise(0.0).alias(name)), "host")
+    shares = _shares(edges, scratch)
+    ranks = hosts.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    if not shares.isEmpty():
+        ranks = hosts.select("host").join(_trust(hosts, shares, damping, tolerance, scratch), "host").join(
+            _distrust(hosts, shares, damping, tolerance, scratch), "host", "left")
     # One row per host, written, so that the join may split a hot host's pages.
     ranks = scratch.keep(ranks, "ranks")
     out = judged.join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
@@ -137,17 +161,24 @@ def _sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     link = LINK.replace("'", "''")
 
-    def walk(name, frm, to, seed):
+    rounds = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
+
+    def trust():
         """The same walk over so many rounds that less than TOLERANCE of it is left."""
-        rounds = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
         both = lambda what: f"{what.format('seeds')} AS seeds, {what.format('alls')} AS alls"
-        parts = [f"""{name}_share AS MATERIALIZED (SELECT {frm} AS frm, {to} AS dest, weight / sum(weight) OVER (PARTITION BY {frm}) AS share FROM edges),
-{name}_start AS MATERIALIZED (SELECT host, max(seed) * {1 - DAMPING} AS seeds, {1 - DAMPING} AS alls FROM (
-  SELECT host, {seed} AS seed FROM hosts UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY host),
-{name}0 AS (SELECT host, 0.0::DOUBLE AS seeds, 0.0::DOUBLE AS alls FROM {name}_start)"""]
-        parts += [f"""{name}{i} AS (SELECT dest AS host, {both(f"sum((coalesce(r.{{0}}, 0) + s.{{0}}) * share * {DAMPING})")}
-  FROM {name}_share JOIN {name}_start s ON s.host = frm LEFT JOIN {name}{i - 1} r ON r.host = frm GROUP BY dest)""" for i in range(1, rounds + 1)]
-        parts.append(f"{name}_end AS (SELECT host, CASE WHEN alls > 0 THEN seeds / alls ELSE 0 END AS rank FROM {name}{rounds})")
+        parts = [f"""start AS MATERIALIZED (SELECT host, max(seed) * {1 - DAMPING} AS seeds, {1 - DAMPING} AS alls FROM (
+  SELECT host, allowed AS seed FROM hosts UNION ALL SELECT src, 0 FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY host),
+t0 AS (SELECT host, 0.0::DOUBLE AS seeds, 0.0::DOUBLE AS alls FROM start)"""]
+        parts += [f"""t{i} AS (SELECT dst AS host, {both(f"sum((coalesce(r.{{0}}, 0) + s.{{0}}) * share * {DAMPING})")}
+  FROM shares JOIN start s ON s.host = src LEFT JOIN t{i - 1} r ON r.host = src GROUP BY dst)""" for i in range(1, rounds + 1)]
+        return ",\n".join([*parts, f"t_end AS (SELECT host, CASE WHEN alls > 0 THEN seeds / alls ELSE 0 END AS rank FROM t{rounds})"])
+
+    def distrust():
+        parts = [f"""steps AS MATERIALIZED (SELECT src, dst, share * coalesce(blocked, 0) AS meets,
+  share * (1 - coalesce(blocked, 0)) * {DAMPING} AS goes FROM shares LEFT JOIN hosts ON host = dst),
+d0 AS (SELECT src AS host, sum(meets) AS rank FROM steps GROUP BY src)"""]
+        parts += [f"""d{i} AS (SELECT src AS host, sum(meets + goes * coalesce(rank, 0)) AS rank
+  FROM steps LEFT JOIN d{i - 1} r ON r.host = dst GROUP BY src)""" for i in range(1, rounds + 1)]
         return ",\n".join(parts)
 
     return f"""
@@ -169,11 +200,12 @@ edges AS (
 hosts AS (
   SELECT host, avg(CASE WHEN own = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed,
          avg(CASE WHEN own = 'block' THEN 1.0 ELSE 0.0 END) AS blocked FROM judged GROUP BY host),
-{walk("t", "src", "dst", "allowed")},
-{walk("d", "dst", "src", "blocked")}
+shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),
+{trust()},
+{distrust()}
 SELECT page_id, j.host, path, rule,
        coalesce(own, CASE WHEN j.host <> '' AND coalesce(d.rank, 0) - coalesce(t.rank, 0) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN t_end t ON t.host = j.host LEFT JOIN d_end d ON d.host = j.host
+FROM judged j LEFT JOIN t_end t ON t.host = j.host LEFT JOIN d{rounds} d ON d.host = j.host
 """
 
 
