@@ -731,14 +731,14 @@ _THREE_SQL = f"""{EVENTS}, s AS (
 three AS (
   SELECT a.job_id, a.line_no AS x, b.line_no AS y, c.line_no AS z
   FROM (SELECT * FROM s WHERE step = 0) a
-  JOIN (SELECT * FROM s WHERE step = 1) b ON b.job_id = a.job_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3600 SECOND
-  JOIN (SELECT * FROM s WHERE step = 2) c ON c.job_id = b.job_id AND c.ts >= b.ts AND c.ts <= b.ts + INTERVAL 3600 SECOND)"""
+  JOIN (SELECT * FROM s WHERE step = 1) b ON b.job_id = a.job_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 21600 SECOND
+  JOIN (SELECT * FROM s WHERE step = 2) c ON c.job_id = b.job_id AND c.ts >= b.ts AND c.ts <= b.ts + INTERVAL 21600 SECOND)"""
 
 
 def _three_steps(spark, d):
-    """A failed login, then a sign-up, then a purchase, each within an hour of the one before."""
+    """A failed login, then a sign-up, then a purchase, each within six hours of the one before."""
     rules = RuleSet.from_dicts({"three": _rule("SEQ-3", "info", "high", "*", {
-        "type": "sequence", "window_sec": 3600, "patterns": [
+        "type": "sequence", "window_sec": 21600, "patterns": [
             {"regex": "Failed password"}, {"regex": r'"GET /signup/'}, {"regex": r'"POST /purchase'}]})})
     return stored(det.search_rules(_logs(spark, d), rules)), rules
 

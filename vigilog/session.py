@@ -87,6 +87,7 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one without a scheme is named by that of Spark's default file system."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -94,7 +95,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="vigilog-checkpoint-")
         context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = folder.rstrip("/")
+    if ":" in folder.split("/")[0]:
+        return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    named = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # Tasks that write through Arrow take a path without scheme for a local one.
+    return folder if named.startswith("file:") else named
 
 
 def stored(df: DataFrame, **options) -> DataFrame:
