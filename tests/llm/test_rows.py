@@ -208,6 +208,38 @@ def test_token_files_hold_the_library_s_ids(spark, odd_docs):
     assert tokens.digests(odd_docs([])).collect() == []
 
 
+def test_pieces_of_many_texts_have_the_library_s_ids():
+    """Each different piece of all texts is tokenized once, and remembered for the next ones."""
+    import random
+
+    import pyarrow as pa
+
+    rng, coder, pieces = random.Random(3), _coder(), tokens.Pieces(tokens.vocabulary_path())
+    signs = list("abcXYZ09.,!?;:#$%&*'\"()-_<|>= \n\t\x0b\x1c\x85\xa0\u0301\u0338éÉßİı×÷ǅŉẞΣς漢😀\u200bſªº²ɏʰ٠")
+    for _ in range(6):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+        texts += [None, "", " ", "It's won't!! anéx, été;: naïve?! a\u0338.", "<|endoftext|> HI, there", "same words, same words."]
+        ids, ends = pieces.encode(pa.array(texts, pa.string()))
+        known, at = len(pieces.known), 0
+        for text, end, want in zip(texts, ends, coder.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True):
+            assert ids[at:end].tolist() == want.ids, text
+            at = end
+        again, _ = pieces.encode(pa.array(texts, pa.string()).slice(0))
+        assert (again == ids).all() and len(pieces.known) == known
+
+
+def test_blocks_count_their_ids(odd_docs):
+    """The shared table comes from counts beside the blocks; their ids are not read for it."""
+    rows = tokens.id_blocks(odd_docs(ODD), tokens.vocabulary_path(), 2).collect()
+    want = np.unique(np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows]), return_counts=True)
+    total = {}
+    for r in rows:
+        assert (r.counts is None) == bool(r.doc_ids)
+        for i, n in zip(*np.frombuffer(r.counts or b"", "<i8").reshape(2, -1).tolist(), strict=True):
+            total[i] = total.get(i, 0) + n
+    assert total == dict(zip(*(x.tolist() for x in want), strict=True))
+
+
 @pytest.mark.parametrize("n", [1, 15, 16, 17, 1000, 300_000])
 def test_rans_round_trip_and_parallel_decoding(n):
     rng = np.random.default_rng(n)
