@@ -236,6 +236,36 @@ def test_lines_recall_against_edit_similarity(spark):
     assert recall >= 0.9
 
 
+def test_lines_recall_of_longer_lines(spark):
+    """Lines of 20-60 and of 60-150 words with 10-19 % of their characters edited: at least 0.9, and no other."""
+    import duckdb
+
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = []
+    for least, most in [(20, 60)] * 60 + [(60, 150)] * 60:
+        line = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(least, most)))
+        texts += [line, _edited(rng, line, rng.uniform(0.10, 0.19))]
+    con = duckdb.connect()
+    like = [con.execute("SELECT levenshtein($1, $2) <= 0.2 * greatest(length($1), length($2))", [" ".join(t.split()) for t in texts[i:i + 2]]).fetchone()[0]
+            for i in range(0, len(texts), 2)]
+    want = {2 * i + 1 for i, ok in enumerate(like) if ok}
+    gone = {r.doc_id for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect() if r.removed}
+    for part in (range(120), range(120, 240)):
+        there = want.intersection(part)
+        print("recall", round(len(gone & there) / len(there), 3), "of", len(there))
+        assert len(there) > 40 and len(gone & there) >= 0.9 * len(there)
+    assert gone <= want
+
+
+def test_lines_that_share_nothing_keep_no_rows(spark):
+    """What is kept for comparing grows with the pieces that lines share, not with the lines."""
+    rng = random.Random(14)
+    text = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randint(20, 90))) for _ in range(100)]
+    found = lines.occurrences(spark.createDataFrame([(1, "\n".join(text)), (2, text[0])], "doc_id bigint, text string"))
+    assert lines.spots(found).count() <= 5
+
+
 def test_short_and_long_lines_take_part(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(500)]
