@@ -266,6 +266,27 @@ def test_lines_that_share_nothing_keep_no_rows(spark):
     assert lines.spots(found).count() <= 5
 
 
+def test_lines_give_few_pieces(spark):
+    """What is shuffled for comparing is about a dozen rows a line, also of lines of 60 to 96 characters."""
+    rng = random.Random(15)
+    text = [" ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(15)) for _ in range(200)]
+    found = lines.occurrences(spark.createDataFrame([(1, "\n".join(text))], "doc_id bigint, text string"))
+    seen = lines.pieces(found).groupBy("node").count().agg({"count": "avg", "node": "count"}).first()
+    assert seen["count(node)"] == 200 and 8 <= seen["avg(count)"] <= 16
+
+
+def test_lines_with_words_more_or_less_are_like(spark):
+    """Words that are added, left out or replaced are edits like others; one edit too many is refused."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(60)]
+    more, less, other = ["extra", "words", *words, "added"], words[:20] + words[23:50] + words[52:], list(words)
+    other[10:14] = ["zzzzz"] * 4
+    far = [w if i % 4 else "zzzzz" for i, w in enumerate(words)]  # 75 of 359 characters, where 71 may be
+    rows = [(i, " ".join(x)) for i, x in enumerate((words, more, less, other, far))]
+    got = {r.doc_id: r.removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: [], 1: [0], 2: [0], 3: [0], 4: []}
+
+
 def test_short_and_long_lines_take_part(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(500)]
