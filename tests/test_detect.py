@@ -202,6 +202,23 @@ def test_crowded_keys_send_no_hits(make_logs):
     assert det.detect_threshold(hits, rs).count() == 3000
 
 
+def test_many_keys_are_not_sent_to_the_driver(make_logs):
+    """Keys that fire grow with the logs: no join gathers them, however small their files; few ones still may be."""
+    rs = rules(t=threshold([r"hit (?P<src_ip>\w+)"], count=3, window=60))
+
+    def matched(keys, last):
+        rows = [(k / 7 + at, "s", f"hit k{k}") for k in range(keys) for at in (0, 1, last(k))]
+        matches = det.detect_threshold(stored(det.search_rules(make_logs(rows), rs)), rs)
+        plan = matches._jdf.queryExecution().executedPlan().toString()
+        return Counter(r.captured["src_ip"] for r in matches.collect()), "BroadcastHashJoin" in "".join(x for x in plan.split("\n") if "LeftSemi" in x)
+
+    assert matched(10, lambda k: 10) == ({f"k{k}": 3 for k in range(10)}, True)
+    assert matched(6000, lambda k: 10) == ({f"k{k}": 3 for k in range(6000)}, False)
+    # Two thirds are left open by the bounds: on the window's end, and beside it.
+    got, sent = matched(6000, lambda k: (10, 60, 60.000001)[k % 3])
+    assert got == {f"k{k}": 3 for k in range(6000) if k % 3 < 2} and not sent
+
+
 def test_threshold_limits_and_keys(make_logs):
     logs = make_logs([
         (0, "s", "hit a"), (30, "s", "hit a"), (60, "s", "hit a"),  # exactly the window

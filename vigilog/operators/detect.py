@@ -24,6 +24,7 @@ CELLS = 1024  # parts of one window length, so that no task owns a whole crowded
 FEW_LITERALS = 48  # so many are searched one by one
 PARTS = 32  # cells of a threshold's window, and of a bucket of it
 SALTS = 16  # parts of a key's hits where they meet the row that says the key fired
+FEW_KEYS = 4096  # so many keys may be sent to every executor
 
 
 # --------------------------------------------------------------------------- scope (D1)
@@ -210,10 +211,15 @@ def fired_keys(
     hold fewer, nothing can. Only where these two bounds leave it open are times fetched: for keys that
     nothing else has fired, in pairs of buckets that then hold a few times N hits at most.
     """
-    return _fired(_keyed(hits, rules, compat), keys)
+    return _fired(_keyed(hits, rules, compat), keys)[0]
 
 
-def _fired(keyed: DataFrame, keys: tuple) -> DataFrame:
+def _fired(keyed: DataFrame, keys: tuple) -> tuple[DataFrame, bool]:
+    """The keys that fire, and whether they may be many.
+
+    Spark takes the size of a stored table's files for that of its rows, and does not count what an
+    explode adds; it would gather hundreds of thousands of keys in the driver. Many keys are dealt instead.
+    """
     group = [*keys, "rule_path", "_k"]
     dated = (
         keyed.filter(F.col("_us").isNotNull())
@@ -238,11 +244,12 @@ def _fired(keyed: DataFrame, keys: tuple) -> DataFrame:
     ).filter("_open")
     # A row per key that fires, and one per bucket that is open; few, and asked three times.
     judged = stored(judged.select(*group, "key", "_sure", F.when(~F.col("_sure"), F.col("_bucket")).alias("_pair")).distinct())
+    many = judged.count() > FEW_KEYS
     sure = judged.filter("_sure").select(*group, "key")
-    left = judged.filter("NOT _sure").join(sure, group, "left_anti")
+    left = judged.filter("NOT _sure").join(_dealt(sure, many), group, "left_anti")
     if left.isEmpty():
-        return sure
-    pairs = left.select(*group, "_pair", F.explode(F.array("_pair", F.col("_pair") - 1)).alias("_bucket"))
+        return sure, many
+    pairs = _dealt(left.select(*group, "_pair", F.explode(F.array("_pair", F.col("_pair") - 1)).alias("_bucket")), many)
     straddling = (
         dated.join(pairs, [*group, "_bucket"])
         .groupBy(*group, "key", "_n", "_w", "_pair")
@@ -255,7 +262,11 @@ def _fired(keyed: DataFrame, keys: tuple) -> DataFrame:
         )
         .select(*group, "key")
     )
-    return sure.unionByName(straddling).distinct()
+    return sure.unionByName(straddling).distinct(), many
+
+
+def _dealt(df: DataFrame, many: bool) -> DataFrame:
+    return df.hint("merge") if many else df
 
 
 def detect_threshold(
@@ -266,8 +277,9 @@ def detect_threshold(
     # The hits of one key are dealt over several tasks, to each of which its row is repeated.
     part = F.pmod(F.xxhash64("source_file", "line_no"), F.lit(SALTS)).cast("int")
     group = [*keys, "rule_path", "_k", "_part"]
-    fired = _fired(keyed, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return keyed.withColumn("_part", part).join(fired.select(*group), group, "left_semi").select(*hits.columns)
+    fired, many = _fired(keyed, keys)
+    fired = fired.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(*group)
+    return keyed.withColumn("_part", part).join(_dealt(fired, many), group, "left_semi").select(*hits.columns)
 
 
 # --------------------------------------------------------------------------- sequence (D6)
