@@ -296,3 +296,20 @@ def test_short_and_long_lines_take_part(spark):
     rows = [(1, "\n".join([*short, " ".join(words)])), (2, "\n".join(["all rights reserved!", short[1], "", "MENU", "privacy policy is", " ".join(long)]))]
     got = {r.doc_id: r.removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: [], 2: [0, 1, 3, 4, 5]}
+
+
+def test_like_lines_meet_in_company(spark):
+    """A pair that only shares short pieces is found however many other lines share them too."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    pairs, crowd = [], []
+    for _ in range(4):
+        words = [word() for _ in range(30)]
+        pairs += [" ".join(words), " ".join(w if i % 2 else "z" + w[1:] for i, w in enumerate(words))]
+        crowd += [" ".join(w if i % 2 and rng.random() < 0.3 else word() for i, w in enumerate(words)) for _ in range(60)]
+
+    def gone(texts):
+        return {r.doc_id for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect() if r.removed}
+
+    assert gone(pairs) == {1, 3, 5, 7}
+    assert gone(pairs + crowd) == {1, 3, 5, 7}
